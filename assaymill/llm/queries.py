@@ -12,6 +12,7 @@ from .mixing import mix
 from .packing import pack
 from .shards import uniform_shards
 from .simhash import simhash_groups
+from .substrings import substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -50,6 +55,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
+    "op6_substrings": op6_substrings,
     "op7_sharding": op7_sharding,
     "op8_exact_dedup": op8_exact_dedup,
 }
