@@ -13,6 +13,7 @@ from .packing import pack
 from .shards import uniform_shards
 from .simhash import simhash_groups
 from .substrings import substring_dedup
+from .toxicity import fit_on, held_out, score
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", digest.alias("text_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_on(docs, _table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_mixing": op4_mixing,
@@ -58,6 +65,7 @@ QUERIES = {
     "op6_substrings": op6_substrings,
     "op7_sharding": op7_sharding,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL = {
