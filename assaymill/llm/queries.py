@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import conversation_digests
 from .common import text_of
 from .exact_dedup import exact_dedup, normalised
 from .mixing import mix
@@ -14,12 +15,17 @@ from .shards import uniform_shards
 from .simhash import simhash_groups
 from .substrings import substring_dedup
 from .toxicity import fit_on, held_out, score
+from .vectors import near_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -58,7 +64,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], turns.schema)
+    return conversation_digests(turns.unionByName(more))
+
+
 QUERIES = {
+    "op1_near_vectors": op1_near_vectors,
     "op2_packing": op2_packing,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
@@ -66,6 +80,7 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_chat": op10_chat,
 }
 
 ORACLE_SQL = {
