@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .chat import conversation_digests
 from .common import text_of
 from .exact_dedup import exact_dedup, normalised
+from .html_extract import extract
 from .mixing import mix
 from .packing import pack
 from .shards import uniform_shards
@@ -30,6 +31,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op2_packing": op2_packing,
+    "op3_html": op3_html,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op6_substrings": op6_substrings,
