@@ -29,6 +29,9 @@ FAN_IN = 8
 NEARLY_FULL = 0.99
 #: Words whose ids a Python worker remembers.
 CACHED_WORDS = 400_000
+#: ASCII marks that the tokenizer's pattern takes as one piece after letters.
+#: An apostrophe may start a piece of its own kind, and so isn't among them.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def default_tokenizer() -> str:
@@ -37,27 +40,76 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordTokens(dict):
+class WordTokens:
     """Word bytes -> its ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer's normaliser and pattern never join characters across white
-    space, so a text's ids are those of its words in order."""
+    space, so a text's ids are those of its words in order, and letters followed
+    by marks are two pieces.  Only runs of letters seen for the first time reach
+    the tokenizer, many at once: each is one piece, which ends with the one
+    token that carries the end-of-word suffix.  Two generations of words are
+    kept, so a worker's memory is bounded and frequent words stay."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, new: list[str]) -> None:
+        """Learns runs of letters."""
+        for at in range(0, len(new), 1000):
+            some = new[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stop = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else []
+            if len(stop) == len(some):
+                raw, start = ids.tobytes(), 0
+                for word, end in zip(some, (4 * stop).tolist()):
+                    self.letters[word] = raw[start:end]
+                    start = end
+            else:  # the normaliser changed what a run of letters is
+                for word in some:
+                    self.letters[word] = self.whole(word)
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        new = [w for w in words if w not in self]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for word, coded in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                self[word] = np.array(coded.ids, "<u4").tobytes()
+        if len(self.words) > CACHED_WORDS:
+            self.older, self.words = self.words, {}
+            self.letters, self.marks = {}, {"": b""}
+        known, older, split = self.words, self.older, []
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    split.append((w, w.decode("utf-8", "replace")))
+        parts = []
+        for w, text in split:
+            run = text if text.isalpha() else text.rstrip(_MARKS)
+            # lower-casing can add a mark to a letter
+            if not (run.isalpha() and (run.isascii() or run.lower().isalpha())):
+                known[w] = self.whole(text)
+                continue
+            parts.append((w, run, text[len(run) :]))
+        letters, marks = self.letters, self.marks
+        self._letters(list({run for _, run, _ in parts if run not in letters}))
+        for w, run, mark in parts:
+            if mark not in marks:
+                marks[mark] = self.whole(mark)
+            known[w] = letters[run] + marks[mark]
+
+
+#: One per path for the life of a Python worker.
+_KNOWN: dict[str, WordTokens] = {}
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -66,17 +118,21 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordTokens(path)
+        if path not in _KNOWN:
+            _KNOWN[path] = WordTokens(path)
+        known = _KNOWN[path]
         end = np.array([EOS], "<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = [(x or b"").split() for x in batch.column(1).to_pylist()]
-                known.learn({w for words in texts for w in words})
-                get = known.__getitem__
+                raw = [x or b"" for x in batch.column(1).to_pylist()]
+                # special tokens are matched before lower-casing
+                texts = [x.lower().split() if b"<|" not in x else None for x in raw]
+                known.learn(set().union(*filter(None, texts)))
+                get = known.words.__getitem__
                 row, piece, start, size, crc, kept = [], [], [], [], [], []
                 for k, words in enumerate(texts):
-                    ids = b"".join([*map(get, words), end])
+                    ids = b"".join(map(get, words)) + end if words is not None else known.whole(raw[k].decode("utf-8", "replace")) + end
                     for n, b in enumerate(range(0, len(ids), 4 * length)):
                         part = ids[b : b + 4 * length]
                         row.append(k)
