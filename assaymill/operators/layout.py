@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from .ordered import by_group
 
 
 def merged(boxes: DataFrame, by: list[str], overlap: float = 0.3, gap: int = 50) -> DataFrame:
@@ -16,8 +16,8 @@ def merged(boxes: DataFrame, by: list[str], overlap: float = 0.3, gap: int = 50)
     kinds = {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", x1 long, y1 long, x2 long, y2 long, parts int"
 
-    def run(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        b = page[["x1", "y1", "x2", "y2"]].sort_values(["x1", "y1", "x2", "y2"]).to_numpy()
+    def make(key: tuple, columns: list) -> list[tuple]:
+        b = list(zip(*(c.tolist() for c in columns)))
         parent = list(range(len(b)))
 
         def root(i: int) -> int:
@@ -26,20 +26,20 @@ def merged(boxes: DataFrame, by: list[str], overlap: float = 0.3, gap: int = 50)
                 i = parent[i]
             return i
 
-        for i in range(len(b)):
+        for i, (ax1, ay1, ax2, ay2) in enumerate(b):
             for j in range(i + 1, len(b)):
-                if b[j][0] - b[i][2] > gap and b[j][0] > b[:i + 1, 2].max() + gap:
-                    break  # sorted by x1: the rest is too far right of all so far
-                y = max(0, min(b[i][3], b[j][3]) - max(b[i][1], b[j][1]))
-                if y / max(min(b[i][3] - b[i][1], b[j][3] - b[j][1]), 1) >= overlap and max(0, max(b[i][0], b[j][0]) - min(b[i][2], b[j][2])) <= gap:
+                bx1, by1, bx2, by2 = b[j]
+                if bx1 - ax2 > gap:
+                    break  # sorted by x1: the rest is too far right
+                if max(0, min(ay2, by2) - max(ay1, by1)) / max(min(ay2 - ay1, by2 - by1), 1) >= overlap:
                     parent[root(i)] = root(j)
-        groups: dict[int, list[int]] = {}
-        for i in range(len(b)):
-            groups.setdefault(root(i), []).append(i)
-        rows = [(*key, b[g, 0].min(), b[g, 1].min(), b[g, 2].max(), b[g, 3].max(), len(g)) for g in groups.values()]
-        return pd.DataFrame(rows, columns=[*by, "x1", "y1", "x2", "y2", "parts"])
+        groups: dict[int, list] = {}
+        for i, x in enumerate(b):
+            groups.setdefault(root(i), []).append(x)
+        return [(min(x[0] for x in g), min(x[1] for x in g), max(x[2] for x in g), max(x[3] for x in g), len(g)) for g in groups.values()]
 
-    return boxes.groupBy(*by).applyInPandas(run, schema)
+    sides = ["x1", "y1", "x2", "y2"]
+    return by_group(boxes, by, sides, sides, make, schema)
 
 
 def inside(boxes: DataFrame, tables: DataFrame, by: list[str]) -> DataFrame:

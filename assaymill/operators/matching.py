@@ -9,56 +9,64 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import by_group
 
-def greedy(left: DataFrame, right: DataFrame, by: list[str], left_order: list[str], right_order: list[str], cost: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], limit: float, left_id: str, right_id: str) -> DataFrame:
+
+def greedy(left: DataFrame, right: DataFrame, by: list[str], left_order: list[str], right_order: list[str], left_values: list[str], right_values: list[str], cost: Callable[[list, list], np.ndarray], limit: float, left_id: str, right_id: str) -> DataFrame:
     """``by, left_id, right_id, cost``: each left row in order takes the unused
     right row of least cost below the limit; of equal costs the first in the
-    right order."""
-    kinds = {f.name: f.dataType.simpleString() for f in [*left.schema.fields, *right.schema.fields]}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, left_id, right_id]) + ", cost double"
-
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    right order.  Order and value columns are numbers, as many on either side;
+    ids are longs."""
+    number = lambda names, k, to: F.col(names[k]).cast("double").alias(f"_{to}{k}") if k < len(names) else F.lit(0.0).alias(f"_{to}{k}")
+    n_order, n_value = max(len(left_order), len(right_order)), len(left_values)
+
+    def side(df: DataFrame, k: int, name: str, order: list[str], values: list[str]) -> DataFrame:
+        return df.select(*by, F.lit(k).alias("_side"), F.col(name).cast("long").alias("_id"), *[number(order, j, "o") for j in range(n_order)], *[number(values, j, "v") for j in range(n_value)])
+
+    both = side(left, 0, left_id, left_order, left_values).unionByName(side(right, 1, right_id, right_order, right_values))
+
+    def make(key: tuple, columns: list) -> list[tuple]:
+        sides, ids, values = columns[0], columns[1], columns[2:]
+        n = int(np.searchsorted(sides, 1))
+        if n == 0 or n == len(sides):
+            return []
+        table = np.array(cost([v[:n] for v in values], [v[n:] for v in values]), np.float64)
         out = []
-        if len(a) and len(b):
-            a = a.sort_values(left_order, kind="stable", ignore_index=True)
-            b = b.sort_values(right_order, kind="stable", ignore_index=True)
-            table = cost(a, b)
-            for i in range(len(a)):
-                j = int(np.argmin(table[i]))
-                if table[i, j] < limit:
-                    out.append((*key, a[left_id][i], b[right_id][j], float(table[i, j])))
-                    table[:, j] = np.inf
-        return pd.DataFrame(out, columns=[*by, left_id, right_id, "cost"])
-
-    # names on both sides stay apart
-    b = right.select(*[F.col(c).alias(c) for c in right.columns])
-    return left.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(run, schema)
+        for i in range(n):
+            j = int(np.argmin(table[i]))
+            if table[i, j] < limit:
+                out.append((int(ids[i]), int(ids[n + j]), float(table[i, j])))
+                table[:, j] = np.inf
+        return out
+
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + f", `{left_id}` bigint, `{right_id}` bigint, cost double"
+    order = ["_side", *[f"_o{k}" for k in range(n_order)], "_id"]
+    return by_group(both, by, order, ["_side", "_id", *[f"_v{k}" for k in range(n_value)]], make, schema)
 
 
 def nearest(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, limit: float, left_id: str, right_id: str, left_order: list[str] | None = None) -> DataFrame:
     """Greedy matching by distance in one coordinate."""
-    cost = lambda a, b: np.abs(a[left_at].to_numpy(np.float64)[:, None] - b[right_at].to_numpy(np.float64)[None])
-    return greedy(left, right, by, left_order or [left_id], [right_at, right_id], cost, limit, left_id, right_id)
+    return greedy(left, right, by, left_order or [left_id], [right_at], [left_at], [right_at], lambda a, b: np.abs(a[0][:, None] - b[0][None]), limit, left_id, right_id)
 
 
 def by_overlap(truth: DataFrame, found: DataFrame, by: list[str], least: float = 0.3) -> DataFrame:
     """Boxes of the truth (``truth_id, x1..y2``) matched to found ones
     (``found_id, x1..y2``) by IoU; ``iou`` at least ``least``."""
 
-    def cost(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        p, q = (d[["x1", "y1", "x2", "y2"]].to_numpy(np.float64) for d in (a, b))
-        w = np.minimum(p[:, None, 2], q[None, :, 2]) - np.maximum(p[:, None, 0], q[None, :, 0])
-        h = np.minimum(p[:, None, 3], q[None, :, 3]) - np.maximum(p[:, None, 1], q[None, :, 1])
+    def cost(p: list, q: list) -> np.ndarray:
+        w = np.minimum(p[2][:, None], q[2][None]) - np.maximum(p[0][:, None], q[0][None])
+        h = np.minimum(p[3][:, None], q[3][None]) - np.maximum(p[1][:, None], q[1][None])
         inner = np.maximum(w, 0) * np.maximum(h, 0)
-        size = lambda d: (d[:, 2] - d[:, 0]) * (d[:, 3] - d[:, 1])
+        size = lambda d: (d[2] - d[0]) * (d[3] - d[1])
         union = size(p)[:, None] + size(q)[None] - inner
         return -np.where(union > 0, inner / np.where(union > 0, union, 1), 0.0)
 
-    out = greedy(truth, found, by, ["truth_id"], ["found_id"], cost, np.nextafter(-least, 0), "truth_id", "found_id")
+    sides = ["x1", "y1", "x2", "y2"]
+    out = greedy(truth, found, by, ["truth_id"], ["found_id"], sides, sides, cost, float(np.nextafter(-least, 0)), "truth_id", "found_id")
     return out.withColumn("iou", -F.col("cost")).drop("cost")
 
 

@@ -64,9 +64,10 @@ def values_by_column(words: DataFrame, columns: DataFrame, ids: DataFrame, limit
     v = words.join(columns, PAGE).where(F.col("x").between(F.col("x_low"), F.col("x_high")))
     v = v.withColumn("value", T.ocr_value(T.plus_signs(F.col("text")), pct)).where("value is not null")
     v = v.select(*PAGE, "assay", F.col("seq").alias("word"), (F.col("y") + F.col("h") / 2).alias("at"), "value")
-    asked = ids.join(columns.select(*PAGE, "assay"), PAGE).select(*PAGE, "assay", "compound_id", "yc")
-    hits = matching.nearest(asked, v.select(*PAGE, "assay", "word", "at"), [*PAGE, "assay"], "yc", "at", limit, "compound_id", "word", ["yc", "compound_id"])
-    return hits.join(v.select(*PAGE, "assay", "word", "value"), [*PAGE, "assay", "word"]).select(*PAGE, "assay", "compound_id", "value")
+    asked = ids.join(columns.select(*PAGE, "assay"), PAGE).select(*PAGE, "assay", F.col("seq").alias("asked"), "compound_id", "yc")
+    hits = matching.nearest(asked, v, [*PAGE, "assay"], "yc", "at", limit, "asked", "word", ["yc", "asked"])
+    named = hits.join(asked.select(*PAGE, "assay", "asked", "compound_id"), [*PAGE, "assay", "asked"])
+    return named.join(v.select(*PAGE, "assay", F.col("word").cast("long").alias("word"), "value"), [*PAGE, "assay", "word"]).select(*PAGE, "assay", "compound_id", "value")
 
 
 def numeric_columns(words: DataFrame, ids: DataFrame, least: int = 3, share: float = 0.3, tolerance: float = 40) -> DataFrame:

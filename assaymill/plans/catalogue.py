@@ -98,8 +98,8 @@ def q_assay_name(spark, d):
 
 @query(
     "q_text_predicates",
-    r"""SELECT doc_id, len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '(?i)K\s*[;,i].*K\s*[;,i].*K\s*[;,i].*K\s*[;,i]'))) > 0 AS two_column,
- regexp_matches(text, 'Licensed|licensed') AS licensed, len(string_split(text, chr(10))) AS lines FROM documents""",
+    r"""SELECT doc_id, regexp_matches(text, '(?i)K\s*[;,i].*K\s*[;,i].*K\s*[;,i].*K\s*[;,i]') AS two_column,
+ regexp_matches(text, 'Licensed|licensed') AS licensed, len(string_split(text, chr(10)))::INT AS lines FROM documents""",
 )
 def q_text_predicates(spark, d):
     docs = table(spark, d, "documents")
@@ -226,10 +226,10 @@ def q_first_filled(spark, d):
     return e.groupBy("user_id", "event_type").agg(F.min_by("value", F.when(F.col("value").isNotNull(), F.col("event_id"))).alias("value")).where("value is not null")
 
 
-@query("q_unmatched", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("q_unmatched", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)")
 def q_unmatched(spark, d):
     a = table(spark, d, "customer").select(F.lit("f").alias("file"), F.col("c_custkey").alias("assay_id"))
-    m = table(spark, d, "orders").select(F.lit("f").alias("file"), F.col("o_custkey").alias("assay_id"))
+    m = table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.lit("f").alias("file"), F.col("o_custkey").alias("assay_id"))
     return merge.unmatched(a, m).select(F.col("assay_id").alias("c_custkey"))
 
 
@@ -336,7 +336,7 @@ def q_iou(spark, d):
 
 @query(
     "q_merged_boxes",
-    f"""WITH RECURSIVE b AS (SELECT l_orderkey, l_linenumber AS n, {BOX} FROM lineitem), e AS (SELECT a.l_orderkey, a.n AS a, b.n AS b FROM b a JOIN b ON a.l_orderkey = b.l_orderkey
+    f"""WITH RECURSIVE b AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, {BOX} FROM lineitem), e AS (SELECT a.l_orderkey, a.n AS a, b.n AS b FROM b a JOIN b ON a.l_orderkey = b.l_orderkey
   WHERE greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / greatest(least(a.y2 - a.y1, b.y2 - b.y1), 1) >= 0.3 AND greatest(0, greatest(a.x1, b.x1) - least(a.x2, b.x2)) <= 50),
  r AS (SELECT l_orderkey, a, b FROM e UNION SELECT r.l_orderkey, r.a, e.b FROM r JOIN e ON e.l_orderkey = r.l_orderkey AND e.a = r.b),
  c AS (SELECT l_orderkey, a AS n, min(b) AS g FROM r GROUP BY 1, 2)
