@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import carried, q, text_of
 
 #: Bounds of the labelled sample.
-MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 2_000, 6_000, 1 << 16
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1_500, 4_000, 1 << 15
 GAP, DECAY = 3, 0.6
 LANDMARKS = 224
 THRESHOLD = 0.3
@@ -155,8 +155,9 @@ def kernel(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
         for code, weight in subsequences(symbols):
             where = index[code]
             hit = np.flatnonzero(where.any(axis=1))
-            if len(hit):
-                out[some[hit]] += weight * dense[where[hit]].sum(axis=1)
+            for c in range(0, len(hit), 512):  # bounds the gathered rows
+                part = hit[c : c + 512]
+                out[some[part]] += weight * dense[where[part]].sum(axis=1)
     return out
 
 
@@ -204,18 +205,24 @@ def _telling(docs: list[set[bytes]], toxic: np.ndarray) -> Counter:
     """Words that tell toxic documents, and of how many: for each document the
     word whose own or whose stem's count over toxic and clean documents tells
     most, and every word whose own count tells by itself."""
-    sums: tuple[Counter, Counter] = Counter(), Counter()
     stems = lambda w: {w, *(w[:k] + b"*" for k in (3, 4, 5, 6) if len(w) > k)}
+    of_toxic: Counter = Counter()
     for words, label in zip(docs, toxic):
-        sums[int(label)].update({s for w in words for s in stems(w)})
+        if label:
+            of_toxic.update({s for w in words for s in stems(w)})
+    of_toxic = Counter({s: n for s, n in of_toxic.items() if n > 1})
+    of_clean: Counter = Counter()
+    for words, label in zip(docs, toxic):
+        if not label:
+            of_clean.update({s for w in words for s in stems(w) if s in of_toxic})
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
 
     def value(stem: bytes) -> float:
-        a, b = sums[1][stem], sums[0][stem]
+        a, b = of_toxic[stem], of_clean[stem]
         ratio = np.log((a + 0.5) / n1 * n0 / (b + 0.5))
         return float(a * ratio) if a > 1 and ratio >= LEAST_RATIO else 0.0
 
-    best = {s: v for s in sums[1] if (v := value(s)) >= LEAST_VALUE}
+    best = {s: v for s in of_toxic if (v := value(s)) >= LEAST_VALUE}
     out: Counter = Counter()
     for words, label in zip(docs, toxic):
         if label:
@@ -258,7 +265,7 @@ def fit(texts: list[bytes], toxic: list[bool], seed: int = 5, landmarks: int = L
     usual = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))[:2000]]
     some = [everyday[k] for k in rng.choice(len(everyday), min(6000, len(everyday)), replace=False)]
     for _ in range(rounds):
-        varied = [_varied(w, rng) for w in positive for _ in range(2)]
+        varied = [_varied(w, rng) for w in positive for _ in range(3)]
         negative = sorted({*usual, *some, *hard} - set(positive))
         marks = sorted(positive, key=lambda w: (-chosen[w], w))[: landmarks // 4]
         marks += [positive[k] for k in rng.choice(len(positive), min(landmarks // 4, len(positive)), replace=False)]
@@ -271,7 +278,7 @@ def fit(texts: list[bytes], toxic: list[bool], seed: int = 5, landmarks: int = L
         root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
         examples = [*positive, *varied, *negative]
         label = np.r_[np.ones(len(positive) + len(varied)), -np.ones(len(negative))]
-        weight = np.r_[[4.0 + min(60, chosen[w]) for w in positive], [1.0 + min(8, chosen[w] / 4) for w in positive for _ in range(2)], [2.0 + min(60, clean[w]) ** 0.5 for w in negative]]
+        weight = np.r_[[4.0 + min(60, chosen[w]) for w in positive], [1.0 + min(8, chosen[w] / 4) for w in positive for _ in range(3)], [2.0 + min(60, clean[w]) ** 0.5 for w in negative]]
         w = _svm(kernel(examples, marks) @ root, label, weight, ridge=0.2)
         alpha = root @ w[:-1]
         table = np.zeros(_SIZE, np.float64)
