@@ -6,8 +6,9 @@ over the row and one join of rows with their table's header."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 
@@ -16,16 +17,17 @@ TABLE = ["file", "page", "table_no"]
 TABLE_WORDS = r"(?iu)ic50|ec50|ic 50|ec 50|\bki\b|\bkd\b|gi50|emax|inhibition|activity|assay|potency|binding|nm|μm|um\b|mm"
 
 
-def header(cells: Column) -> Column:
-    """``struct<id_at, columns: array<struct<at, name>>>`` of a header row: the
-    first cell naming compounds (else the first cell), and the other named
-    columns; of equal names the last one counts."""
-    is_id = F.transform(cells, lambda c: F.coalesce(c.rlike(r"(?i)compound|cpd|cmpd|no\.?|#|example|ex\.?|structure") & (T.stripped(c) != ""), F.lit(False)))
-    at = F.greatest(F.array_position(is_id, True) - 1, F.lit(0)).cast("int")
-    named = F.transform(cells, lambda c, k: F.struct(k.alias("at"), T.header_name(c).alias("name")))
-    named = F.filter(named, lambda x: x["name"].isNotNull() & (x["at"] != at))
-    last = F.filter(named, lambda x: ~F.exists(named, lambda y: (y["name"] == x["name"]) & (y["at"] > x["at"])))
-    return F.struct(at.alias("id_at"), last.alias("columns"))
+def with_header(rows: DataFrame, cells: str = "cells") -> DataFrame:
+    """``id_at`` and ``columns`` (``array<struct<at, name>>``) of header rows:
+    the first cell naming compounds (else the first cell), and the other named
+    columns; of equal names the last one counts.  Names are made once per cell,
+    in a projection of their own."""
+    is_id = F.transform(cells, lambda c: F.coalesce(c.rlike(r"(?i)compound|cpd|cmpd|no\.?|#|example|ex\.?|structure"), F.lit(False)))
+    made = rows.withColumn("id_at", F.greatest(F.array_position(is_id, True) - 1, F.lit(0)).cast("int")).withColumn("_names", F.transform(cells, T.header_name))
+    last = F.transform("_names", lambda n, k: F.struct(k.alias("at"), n.alias("name")))
+    # the last of equal names: none like it in what follows
+    last = F.filter(last, lambda x: x["name"].isNotNull() & (x["at"] != F.col("id_at")) & ~F.exists(F.slice("_names", x["at"] + 2, F.size("_names")), lambda n: F.coalesce(n == x["name"], F.lit(False))))
+    return made.withColumn("columns", last).drop("_names")
 
 
 def is_biological(rows: DataFrame) -> DataFrame:
@@ -40,15 +42,19 @@ def is_biological(rows: DataFrame) -> DataFrame:
 
 def long_assays(rows: DataFrame) -> DataFrame:
     """``file, page, table_no, row_no, compound_id, assay, value``: one record
-    per id, column and value.  Of rows with one id in a table the last wins."""
-    heads = rows.where("row_no = 0").select(*TABLE, header(F.col("cells")).alias("head"))
+    per id, column and value.  Of rows with one id in a table the last wins.
+
+    One shuffle by table serves the join with the header and the window over
+    the ids; cells are parsed after they have become rows, where a subexpression
+    is evaluated once."""
+    heads = with_header(rows.where("row_no = 0")).select(*TABLE, "id_at", "columns")
     body = rows.where("row_no > 0").join(heads, TABLE)
     # an index past a short row is no cell
-    cell = lambda at: F.try_element_at("cells", at + 1)
-    body = body.withColumn("compound_id", T.table_id(cell(F.col("head.id_at")))).where("compound_id is not null")
-    newest = body.groupBy(*TABLE, "compound_id").agg(F.max_by(F.struct("row_no", "cells", "head"), "row_no").alias("r")).select(*TABLE, "compound_id", "r.*")
-    values = F.filter(F.transform("head.columns", lambda c: F.struct(c["name"].alias("assay"), T.parse_value(cell(c["at"])).alias("value"))), lambda v: v["value"].isNotNull())
-    return newest.select(*TABLE, "row_no", "compound_id", F.inline(values))
+    body = body.withColumn("compound_id", T.table_id(F.try_element_at("cells", F.col("id_at") + 1))).where("compound_id is not null")
+    newest = F.max("row_no").over(Window.partitionBy(*TABLE, "compound_id"))
+    body = body.withColumn("_last", newest).where("row_no = _last")
+    cells = body.select(*TABLE, "row_no", "compound_id", "cells", F.inline("columns")).withColumn("cell", F.try_element_at("cells", F.col("at") + 1))
+    return cells.select(*TABLE, "row_no", "compound_id", F.col("name").alias("assay"), T.parse_value(F.col("cell")).alias("value")).where("value is not null")
 
 
 def text_lines(pages: DataFrame) -> DataFrame:
