@@ -40,21 +40,24 @@ def is_biological(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*TABLE).agg(F.count(F.lit(1)).alias("n"), F.bool_or(hit).alias("hit")).where("n >= 2 and hit").select(*TABLE)
 
 
-def long_assays(rows: DataFrame) -> DataFrame:
+def long_assays(rows: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """``file, page, table_no, row_no, compound_id, assay, value``: one record
     per id, column and value.  Of rows with one id in a table the last wins.
+    ``only`` restricts the tables: it meets the headers, and rows follow them.
 
     One shuffle by table serves the join with the header and the window over
     the ids; cells are parsed after they have become rows, where a subexpression
     is evaluated once."""
     heads = with_header(rows.where("row_no = 0")).select(*TABLE, "id_at", "columns")
+    heads = heads if only is None else heads.join(only, TABLE, "left_semi")
     body = rows.where("row_no > 0").join(heads, TABLE)
     # an index past a short row is no cell
-    body = body.withColumn("compound_id", T.table_id(F.try_element_at("cells", F.col("id_at") + 1))).where("compound_id is not null")
+    body = body.withColumn("compound_id", F.explode(F.array(T.table_id(F.try_element_at("cells", F.col("id_at") + 1))))).where("compound_id is not null")
     newest = F.max("row_no").over(Window.partitionBy(*TABLE, "compound_id"))
     body = body.withColumn("_last", newest).where("row_no = _last")
     cells = body.select(*TABLE, "row_no", "compound_id", "cells", F.inline("columns")).withColumn("cell", F.try_element_at("cells", F.col("at") + 1))
-    return cells.select(*TABLE, "row_no", "compound_id", F.col("name").alias("assay"), T.parse_value(F.col("cell")).alias("value")).where("value is not null")
+    # a generator evaluates the parser once; a filter or a later use would repeat it
+    return cells.select(*TABLE, "row_no", "compound_id", F.col("name").alias("assay"), F.explode(F.array(T.parse_value(F.col("cell")))).alias("value")).where("value is not null")
 
 
 def text_lines(pages: DataFrame) -> DataFrame:

@@ -174,13 +174,14 @@ def q_tanimoto(spark, d):
 
 
 # ---------------------------------------------------------------- tables and merging
-CELLS_SQL = f"""SELECT l_orderkey AS page, l_linenumber AS row_no, concat('Example ', l_partkey % 40) AS c0, {CELL} AS c1, concat(CAST(l_quantity AS BIGINT), ' nM') AS c2 FROM lineitem"""
+CELLS_SQL = f"""SELECT l_orderkey AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS INT) AS row_no, concat('Example ', l_partkey % 40) AS c0, {CELL} AS c1, concat(CAST(l_quantity AS BIGINT), ' nM') AS c2 FROM lineitem"""
 
 
 def _cells(spark, d) -> DataFrame:
     """A table per order: a header, and a row per line."""
     li = table(spark, d, "lineitem")
-    body = li.select(F.lit("f").alias("file"), F.col("l_orderkey").alias("page"), F.lit(1).alias("table_no"), F.col("l_linenumber").alias("row_no"), F.array(F.expr("concat('Example ', l_partkey % 40)"), F.expr(CELL), F.expr("concat(CAST(l_quantity AS BIGINT), ' nM')")).alias("cells"))
+    row_no = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    body = li.select(F.lit("f").alias("file"), F.col("l_orderkey").alias("page"), F.lit(1).alias("table_no"), row_no.alias("row_no"), F.array(F.expr("concat('Example ', l_partkey % 40)"), F.expr(CELL), F.expr("concat(CAST(l_quantity AS BIGINT), ' nM')")).alias("cells"))
     heads = li.select("l_orderkey").distinct().select(F.lit("f").alias("file"), F.col("l_orderkey").alias("page"), F.lit(1).alias("table_no"), F.lit(0).alias("row_no"), F.array(F.lit("Example No."), F.lit("ICso"), F.lit("Ki  (nM)")).alias("cells"))
     return heads.unionByName(body)
 

@@ -14,7 +14,7 @@ def assay_records(cells: DataFrame, text_pages: DataFrame | None = None, ocr: Da
     from their text, then from recognised records; first filled value by page
     and source."""
     good = tables.is_biological(cells)
-    native = tables.long_assays(cells.join(good, tables.TABLE, "left_semi")).select("file", "page", F.col("table_no").alias("part"), "compound_id", "assay", "value", F.lit(0).alias("rank"))
+    native = tables.long_assays(cells, good).select("file", "page", F.col("table_no").alias("part"), "compound_id", "assay", "value", F.lit(0).alias("rank"))
     out = native
     if text_pages is not None:
         rest = text_pages.join(native.select("file", "page").distinct(), ["file", "page"], "left_anti")
