@@ -38,12 +38,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables stored by this process, for :func:`release`.
+_STORED: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables :func:`stored` made in this process, once no frame
+    that reads them is needed any more; returns how many there were."""
+    n = len(_STORED)
+    for path in _STORED:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _STORED.clear()
+    return n
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Compute once into a Parquet table in the shared folder: columnar and
     compressed, for results too wide or too long for :func:`cut`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/assaymill/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,7 @@
 """Operators on fixtures: nulls, empty and long texts, ties, repeated rows,
 empty tables, clashing extra columns, hot groups."""
 
+import os
 import random
 
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from assaymill.llm import chat, components, exact_dedup, html_extract, html_train, mixing, packing, shards, simhash, substrings, toxicity, vectors
-from assaymill.llm.common import cut, shared_dir, stored
+from assaymill.llm.common import cut, release, shared_dir, stored
 
 from .test_queries import removed, union_find
 
@@ -71,6 +72,9 @@ def test_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = spark.range(10).where("id > 3")
     assert cut(df).count() == stored(df).count() == 6
+    path = stored(df).inputFiles()[0].removeprefix("file://")
+    # earlier frames of this module no longer read theirs
+    assert os.path.exists(path) and release(spark) > 0 and not os.path.exists(path)
 
 
 # ---------------------------------------------------------------- components, simhash
