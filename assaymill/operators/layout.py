@@ -126,3 +126,29 @@ def label_words(words: DataFrame, margin: float = 0.15) -> DataFrame:
 def strips(words: DataFrame, columns: DataFrame, by: list[str], width: int = 160, least: int = 30) -> DataFrame:
     """Words in the strip left of each column of drawings."""
     return words.join(columns.where(F.col("column_x") >= least), by).where((F.col("x") >= F.col("column_x") - width) & (F.col("x") < F.col("column_x")))
+
+
+def filled_columns(boxes: DataFrame, by: list[str], least: int = 6) -> DataFrame:
+    """Boxes inferred in gaps of half-page columns: on pages with six boxes or
+    more, where the step to the next box of a half is at least 1.7 pitches (its
+    median step), copies of the upper box one pitch further each."""
+    side = F.when((F.col("x1") + F.col("x2")) / 2 < F.col("page_w") / 2, "left").otherwise("right")
+    b = boxes.withColumn("side", side).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by))).where(F.col("_n") >= least)
+    order = Window.partitionBy(*by, "side").orderBy("y1", "x1")
+    b = b.withColumn("_step", F.lead("y1").over(order) - F.col("y1"))
+    pitch = b.where("_step > 0").groupBy(*by, "side").agg(F.percentile("_step", 0.5).alias("_pitch"))
+    gaps = b.join(pitch, [*by, "side"]).where(F.col("_step") >= 1.7 * F.col("_pitch"))
+    k = F.sequence(F.lit(1), F.round(F.col("_step") / F.col("_pitch")).cast("int") - 1)
+    down = F.floor(F.col("_k") * F.col("_pitch")).cast("long")
+    return gaps.withColumn("_k", F.explode(k)).select(*by, "side", F.col("x1").cast("long").alias("x1"), (F.col("y1") + down).alias("y1"), F.col("x2").cast("long").alias("x2"), (F.col("y2") + down).alias("y2"))
+
+
+def structure_columns(columns: DataFrame, boxes: DataFrame, remembered: DataFrame, by: list[str]) -> DataFrame:
+    """Per table the columns (column_no, x1, x2) that hold a box's centre, else
+    those remembered for it, else its second, else its first."""
+    b = boxes.select(*by, ((F.col("x1") + F.col("x2")) / 2).alias("_c"))
+    held = columns.join(b, by).where(F.col("_c").between(F.col("x1"), F.col("x2"))).select(*by, "column_no", "x1", "x2").distinct().withColumn("_rank", F.lit(0))
+    kept = remembered.select(*by, "column_no", "x1", "x2").withColumn("_rank", F.lit(1))
+    rest = columns.where("column_no <= 2").select(*by, "column_no", "x1", "x2", F.when(F.col("column_no") == 2, 2).otherwise(3).alias("_rank"))
+    every = held.unionByName(kept).unionByName(rest)
+    return every.withColumn("_best", F.min("_rank").over(Window.partitionBy(*by))).where("_rank = _best").drop("_rank", "_best")

@@ -197,6 +197,146 @@ def enhanced(region: np.ndarray, how: str = "stretch", size: int = 384) -> np.nd
     return region
 
 
+Box = tuple[int, int, int, int]
+
+
+def trimmed_overlaps(boxes: list[Box], pad: int) -> list[Box]:
+    """Boxes padded, and pairs whose padding overlaps trimmed to the midpoint of
+    their unpadded edges, one pair after another."""
+    out = [[x1 - pad, y1 - pad, x2 + pad, y2 + pad] for x1, y1, x2, y2 in boxes]
+    for i, a in enumerate(boxes):
+        for j in range(i + 1, len(boxes)):
+            b, p, r = boxes[j], out[i], out[j]
+            if p[2] <= r[0] or r[2] <= p[0] or p[3] <= r[1] or r[3] <= p[1]:
+                continue
+            for low, high in ((0, 2), (1, 3)):
+                # only along the axis on which the drawings themselves stand apart
+                if a[high] <= b[low]:
+                    p[high] = r[low] = (a[high] + b[low]) // 2
+                elif b[high] <= a[low]:
+                    r[high] = p[low] = (b[high] + a[low]) // 2
+    return [(max(0, a), max(0, b), c, d) for a, b, c, d in out]
+
+
+def split_box(page: np.ndarray, box: Box, wide: int = 800, tall: int = 600, aspect: float = 2.5, least: int = 50) -> list[Box]:
+    """A compound box cut into its drawings: by a grid of blank bands where it
+    is wide and tall, across where it is tall, down where it is long; parts
+    without a drawing's ink are dropped, and the box stays whole if fewer than
+    two remain."""
+    x1, y1, x2, y2 = box
+    region = page[y1:y2, x1:x2]
+    w, h = x2 - x1, y2 - y1
+    parts: list[Box] = []
+    if w > wide and h > 500:
+        parts = grid_cells(region, least)
+    if len(parts) < 4 and h > tall:
+        at = sparse_split(region, 1)
+        parts = [(0, 0, w, at), (0, at, w, h)] if (region[at] < DARK).mean() < 0.02 else []
+    elif len(parts) < 4 and h and w / h > aspect:
+        at = sparse_split(region, 0)
+        parts = [(0, 0, at, h), (at, 0, w, h)] if (region[:, at] < DARK).mean() < 0.02 else []
+    good = [(x1 + a, y1 + b, x1 + c, y1 + d) for a, b, c, d in parts if min(c - a, d - b) >= least and has_structure_ink(region[b:d, a:c])]
+    return good if len(good) >= 2 else [box]
+
+
+def grid_cells(region: np.ndarray, least: int = 50) -> list[Box]:
+    """Cells between blank bands of rows and columns, at least two each way."""
+    dark = region < DARK
+    rows = [r for r in runs(dark.mean(axis=1) > 0.001) if r[1] - r[0] >= least]
+    columns = [c for c in runs(dark.mean(axis=0) > 0.001) if c[1] - c[0] >= least]
+    if len(rows) < 2 or len(columns) < 2:
+        return []
+    return [(a, top, b, bottom) for top, bottom in rows for a, b in columns]
+
+
+def subdivided(region: np.ndarray, bounds: list[int], tall: int = 600, gap: int = 8) -> list[int]:
+    """Row bounds with segments over 600 cut at the middle of blank bands."""
+    blank = ~(region < DARK).any(axis=1)
+    out = list(bounds[:1])
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        if b - a > tall:
+            out += [a + (c + d) // 2 for c, d in runs(blank[a:b]) if d - c >= gap and c > 0 and a + d < b]
+        out.append(b)
+    return out
+
+
+def anchored_rows(bounds: list[int], anchors: list[int], reach: int = 40) -> list[int]:
+    """Row bounds moved just above the example number next below them."""
+    out = []
+    for b in bounds:
+        below = [a for a in anchors if 0 <= a - b <= reach or 0 < b - a <= reach // 2]
+        out.append(min(below) - 2 if below else b)
+    return sorted(set(max(0, b) for b in out))
+
+
+def tightened(region: np.ndarray, gap: int = 25) -> tuple[int, int]:
+    """The widest stretch of columns without a blank gap of 25 or more."""
+    ink = (region < DARK).any(axis=0)
+    spans: list[list[int]] = []
+    for a, b in runs(ink):
+        if spans and a - spans[-1][1] < gap:
+            spans[-1][1] = b
+        else:
+            spans.append([a, b])
+    return tuple(max(spans, key=lambda s: s[1] - s[0])) if spans else (0, region.shape[1])
+
+
+def filled_rows(page: np.ndarray, table: Box, column: tuple[int, int], bounds: list[int], boxes: list[Box]) -> list[Box]:
+    """Boxes for rows of a table column that have a drawing's ink but no box."""
+    out = list(boxes)
+    for top, bottom in zip(bounds[:-1], bounds[1:]):
+        centre = (top + bottom) / 2
+        held = any(b[1] <= centre <= b[3] and b[0] < column[1] and b[2] > column[0] for b in boxes)
+        box = (max(table[0], column[0]), max(table[1], top), min(table[2], column[1]), min(table[3], bottom))
+        if not held and has_structure_ink(page[box[1] : box[3], box[0] : box[2]]):
+            out.append(box)
+    return sorted(out, key=lambda b: (b[1], b[0]))
+
+
+def accepted(page: np.ndarray, candidate: Box, sample: Box, least: float = -0.3) -> bool:
+    """Whether a candidate has ink and doesn't contradict a known drawing."""
+    cut = lambda b: page[b[1] : b[3], b[0] : b[2]]
+    return has_structure_ink(cut(candidate)) and correlation(cut(candidate), cut(sample)) >= least
+
+
+def located(page: np.ndarray, drawing: np.ndarray, scales: tuple[float, ...] = (0.4, 0.55, 0.7, 0.85, 1.0, 1.15, 1.3, 1.45, 1.6), least: float = 0.5, step: int = 4) -> Box | None:
+    """Where a drawing best correlates with the page over scales; None below
+    the least correlation."""
+    best: tuple[float, Box] | None = None
+    for scale in scales:
+        h, w = (max(1, int(n * scale)) for n in drawing.shape)
+        if h > page.shape[0] or w > page.shape[1]:
+            continue
+        small = drawing[np.linspace(0, drawing.shape[0] - 1, h).astype(int)][:, np.linspace(0, drawing.shape[1] - 1, w).astype(int)]
+        for y in range(0, page.shape[0] - h + 1, step):
+            for x in range(0, page.shape[1] - w + 1, step):
+                c = correlation(page[y : y + h, x : x + w], small)
+                if best is None or c > best[0]:
+                    best = (c, (x, y, x + w, y + h))
+    return best[1] if best and best[0] > least else None
+
+
+def ordered_detection(pages: DataFrame, step: Callable[[np.ndarray, dict], list[Box]]) -> DataFrame:
+    """Boxes of pages read in order within a file, with state carried along
+    (``step(page, state)``): for detectors that reuse a table's columns on its
+    next page.  Pages stream from sorted partitions; memory holds one page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, state = None, {}
+        for part in batches:
+            rows = []
+            for f, p, raw, w, h in zip(part["file"], part["page"], part["gray"], part["width_px"], part["height_px"]):
+                if f != file:
+                    file, state = f, {}
+                if raw is not None:
+                    rows += [(f, p, k, *b) for k, b in enumerate(step(image(raw, w, h), state), 1)]
+            yield pd.DataFrame(rows, columns=["file", "page", "box_no", "x1", "y1", "x2", "y2"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+    ordered = pages.select("file", "page", "gray", "width_px", "height_px").repartition("file").sortWithinPartitions("file", "page")
+    return ordered.mapInPandas(run, f"file {kinds['file']}, page {kinds['page']}, box_no long, x1 long, y1 long, x2 long, y2 long")
+
+
 def test(kernel: Callable[[np.ndarray], bool | int | float], kind: str = "boolean") -> Callable[[Column, Column, Column], Column]:
     """A kernel of one image as a Column function of bytes, width, height; null
     or short bytes give null."""

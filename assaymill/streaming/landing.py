@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 RECORDS = "file string, page int, rank int, compound_id string, assay string, value string, complete boolean, at timestamp"
@@ -55,3 +56,24 @@ def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     """Runs a sink over each batch; ``stop()`` of the returned query cancels."""
     writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+class Progress(StreamingQueryListener):
+    """Collects a record per batch: its number, rows and rows a second."""
+
+    def __init__(self) -> None:
+        self.records: list[dict] = []
+        self.ended: str | None = None
+
+    def onQueryStarted(self, event) -> None:
+        self.ended = None
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.records.append({"batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended = event.exception or "done"

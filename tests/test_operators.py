@@ -86,6 +86,11 @@ def test_layout(spark):
     c = spark.createDataFrame([(1, "picture", 0.9), (1, "picture", 0.4), (1, "table", 0.1), (2, "text", 0.9)], "page int, label string, conf double")
     out = {r.page: r for r in layout.page_classes(c, ["page"]).collect()}
     assert out[1].categories == {"picture": 2} and out[1].should_process and not out[2].should_process
+    grid = spark.createDataFrame([(1, 10, 100 * k, 50, 100 * k + 60, 1000) for k in (0, 1, 2, 4, 5)] + [(1, 600, 0, 650, 60, 1000)], "page int, x1 int, y1 int, x2 int, y2 int, page_w int")
+    assert got(layout.filled_columns(grid, ["page"]), "side", "x1", "y1", "y2") == [("left", 10, 300, 360)]
+    tc = spark.createDataFrame([(1, 1, 0, 10), (1, 2, 10, 20), (2, 1, 0, 10), (2, 2, 10, 20)], "t int, column_no int, x1 int, x2 int")
+    held = layout.structure_columns(tc, spark.createDataFrame([(1, 2, 6)], "t int, x1 int, x2 int"), tc.limit(0), ["t"])
+    assert got(held, "t", "column_no") == [(1, 1), (2, 2)]
     cols = spark.createDataFrame([(1, 0, 10, 100), (1, 20, 80, 100), (2, 0, 5, 100)], "t int, x1 int, x2 int, table_w int")
     assert got(layout.wide_columns(cols, ["t"]), "t", "x1") == [(1, 20), (2, 0)]
 
@@ -170,6 +175,20 @@ def test_pixels(spark):
     assert pixels.autocrop(page)[1] < 45 and pixels.extended(page, (50, 60, 150, 100))[1] == 40
     assert abs(pixels.correlation(page, page) - 1) < 1e-9 and pixels.correlation(page[:5], page[:5]) == 0.0
     assert pixels.enhanced(page, "square").shape == (384, 384)
+    assert pixels.trimmed_overlaps([(10, 10, 20, 20), (24, 10, 30, 20)], 5) == [(5, 5, 22, 25), (22, 5, 35, 25)]
+    sheet = np.full((700, 900), 255, np.uint8)
+    for y in (50, 400):
+        for x in (50, 500):
+            sheet[y : y + 200 : 4, x : x + 300] = 0
+            sheet[y : y + 200, x : x + 300 : 5] = 0
+    assert len(pixels.split_box(sheet, (0, 0, 900, 700))) == 4 and pixels.split_box(page, (50, 40, 150, 140)) == [(50, 40, 150, 140)]
+    assert pixels.subdivided(sheet, [0, 700]) == [0, 325, 700] and pixels.tightened(sheet) == (50, 350)
+    assert pixels.anchored_rows([100, 300], [110]) == [108, 300] and pixels.accepted(sheet, (50, 50, 350, 250), (500, 50, 800, 250))
+    assert len(pixels.filled_rows(sheet, (0, 0, 900, 700), (40, 460), [0, 325, 700], [(50, 50, 350, 250)])) == 2
+    assert pixels.located(sheet[::4, ::4], sheet[0:320:4, 0:480:4], (1.0,)) == (0, 0, 120, 80)
+    two = spark.createDataFrame([("f", p, bytearray(page.tobytes()), 300, 200) for p in (2, 1)], "file string, page int, gray binary, width_px int, height_px int")
+    counted = pixels.ordered_detection(two, lambda _, state: [(state.setdefault("n", state.get("n", 0)), 0, 1, 1)] if state.update(n=state.get("n", 0) + 1) is None else [])
+    assert got(counted, "page", "x1") == [(1, 1), (2, 2)]
     df = spark.createDataFrame([("f", 1, bytearray(page.tobytes()), 300, 200), ("f", 2, None, 1, 1)], "file string, page int, gray binary, width_px int, height_px int")
     assert got(pixels.detect(df), "page", "x1", "y1") == [(1, 50, 40)]
     ink = pixels.test(pixels.has_structure_ink)(F.col("gray"), F.col("width_px"), F.col("height_px"))

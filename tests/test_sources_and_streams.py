@@ -56,7 +56,10 @@ def test_landing(spark, tmp_path):
         spark.createDataFrame([row], "file string, page int, rank int, compound_id string, assay string, value string, complete boolean").withColumn("at", F.expr(at)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     seen = []
     stream = landing.merged_on_completion(landing.landed(spark, str(tmp_path / "in"), 1))
+    progress = landing.Progress()
+    spark.streams.addListener(progress)
     q = landing.start(stream, lambda df, _: seen.extend(tuple(r) for r in df.collect()), str(tmp_path / "cp"), once=True)
     q.awaitTermination(120)
+    spark.streams.removeListener(progress)
     done = spark.createDataFrame([r[:6] for r in data if r[0] == "f"], "file string, page int, rank int, compound_id string, assay string, value string")
     assert sorted(seen) == sorted(tuple(r) for r in merge.merge_records(done, ["file", "compound_id", "assay"], ["page", "rank"]).collect())
