@@ -27,9 +27,10 @@ def assay_records(cells: DataFrame, text_pages: DataFrame | None = None, ocr: Da
 
 def merged_results(structures: DataFrame, records: DataFrame) -> DataFrame:
     """``structure_id, file, page, compound_id, assay_id, rung, bio_data`` of all
-    structures; assays as a map, null where no id fits."""
+    structures; assays as a map, null where no id fits.  The maps are read by
+    the ladder and by the final join, so they are persisted."""
     entry = F.map_from_entries(F.sort_array(F.collect_list(F.struct("assay", "value"))))
-    assays = records.groupBy("file", F.col("compound_id").alias("assay_id")).agg(entry.alias("bio_data"))
+    assays = records.groupBy("file", F.col("compound_id").alias("assay_id")).agg(entry.alias("bio_data")).persist()
     hits = merge.id_ladder(structures, assays).drop("compound_id")
     return structures.join(hits, ["structure_id", "file"], "left").join(assays, ["file", "assay_id"], "left")
 
