@@ -509,3 +509,159 @@ def q_routed(spark, d):
 def q_rescued(spark, d):
     o = table(spark, d, "orders")
     return layout.rescued(o, o.where("o_orderkey % 3 = 0"), o.select("o_orderkey", (F.col("o_custkey") % 5 == 0).alias("accepted")), ["o_orderkey"])
+
+
+# ---------------------------------------------------------------- more of the inventory
+OCR = "CASE p_partkey % 10 WHEN 0 THEN 'ttt' WHEN 1 THEN '+444' WHEN 2 THEN '--' WHEN 3 THEN concat(p_size, ' nM') WHEN 4 THEN 'nd' WHEN 5 THEN 'b' WHEN 6 THEN 'He' WHEN 7 THEN 'word' WHEN 8 THEN '++' ELSE concat('<', p_size, '.5') END"
+
+
+@query(
+    "q_ocr_value",
+    f"""WITH c AS (SELECT p_partkey, {OCR} AS t, (p_partkey * 7 % 100)::INT AS x FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(t, '^[tT]+$') AND x > 40 THEN repeat('+', length(t)) WHEN regexp_matches(t, '^[tT+]+$') AND x > 40 AND length(t) <= 5 THEN repeat('+', length(t)) WHEN regexp_matches(t, '^[+4]{{2,}}$') THEN repeat('+', length(t))
+ WHEN regexp_matches(t, '^[+]{{1,5}}$') THEN t WHEN regexp_matches(t, '^-{{1,5}}$') THEN '-' WHEN regexp_matches(t, '(?i)^[<>]?\\s*\\d{{1,3}}\\.?\\d*\\s*(?:nM|uM|mM|pM|%)?$') THEN t WHEN upper(t) IN ('ND', 'NA', 'NT') THEN upper(t)
+ WHEN upper(t) IN ('A', 'B', 'C', 'D') AND x > 50 THEN upper(t) WHEN regexp_matches(t, '^[Hh][eE+]+$') AND x > 40 THEN '++' END AS value FROM c""",
+)
+def q_ocr_value(spark, d):
+    p = table(spark, d, "part")
+    return p.select("p_partkey", T.ocr_value(F.expr(OCR), (F.col("p_partkey") * 7 % 100).cast("int")).alias("value"))
+
+
+@query(
+    "q_label_id",
+    r"""WITH c AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN concat('Ex. ', p_size, 'b') WHEN 1 THEN concat(p_size, 'a') WHEN 2 THEN 'C6H5O' WHEN 3 THEN concat('WO', p_size) WHEN 4 THEN p_name ELSE concat('#', p_size) END AS t FROM part)
+SELECT p_partkey, CASE WHEN length(trim(t)) <= 10 AND NOT regexp_matches(t, 'PCT|WO\d|US\d|[A-Z]{2,}[a-z]|[a-z][A-Z]') AND NOT regexp_matches(t, '[A-Z][a-z]?\d+[A-Z]')
+ THEN coalesce(nullif(regexp_extract(t, '(?i)(?:compound|cpd\.?|cmpd\.?|example|ex\.?|no\.?|#)\s*(\d{1,4}[a-z]?|[ivx]+)\b', 1), ''), nullif(regexp_extract(trim(t), '^(\d{1,4}[a-z]?)$', 1), '')) END AS label FROM c""",
+)
+def q_label_id(spark, d):
+    raw = F.expr("CASE p_partkey % 6 WHEN 0 THEN concat('Ex. ', p_size, 'b') WHEN 1 THEN concat(p_size, 'a') WHEN 2 THEN 'C6H5O' WHEN 3 THEN concat('WO', p_size) WHEN 4 THEN p_name ELSE concat('#', p_size) END")
+    return table(spark, d, "part").select("p_partkey", T.label_id(raw).alias("label"))
+
+
+@query("q_smiles_answer", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN repeat('C', p_size) WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE 'CC(=O)O' END AS smiles FROM part")
+def q_smiles_answer(spark, d):
+    raw = F.expr(r"CASE p_size % 4 WHEN 0 THEN concat('```smiles\n', repeat('C', p_size), '\n```') WHEN 1 THEN 'NONE' WHEN 2 THEN 'I can not read it' ELSE '\n CC(=O)O \nmore' END")
+    return table(spark, d, "part").select("p_partkey", T.smiles_answer(raw).alias("smiles"))
+
+
+@query(
+    "q_text_lines",
+    r"""WITH o AS (SELECT o_orderkey AS page, o_custkey % 900 + 1 AS id, CAST(floor(o_totalprice) AS BIGINT) % 500 AS v FROM orders WHERE o_orderkey % 3 <> 2)
+SELECT page, CAST(id AS VARCHAR) AS compound_id, 'ic50' AS assay, concat(v, ' nM') AS value FROM o UNION ALL SELECT page, CAST(id AS VARCHAR), 'ki', '++' FROM o WHERE page % 3 = 0""",
+)
+def q_text_lines(spark, d):
+    line = "concat(o_custkey % 900 + 1, ' ', CAST(floor(o_totalprice) AS BIGINT) % 500, ' nM ++')"
+    text = F.expr(rf"CASE o_orderkey % 3 WHEN 0 THEN concat('IC50 and Ki of compounds\n', {line}) WHEN 1 THEN {line} ELSE concat('1H NMR 400 MHz dmso yield\n', {line}) END")
+    p = table(spark, d, "orders").select(F.lit("f").alias("file"), F.col("o_orderkey").alias("page"), text.alias("text"))
+    return tables.text_lines(p).select("page", "compound_id", "assay", "value")
+
+
+@query(
+    "q_low_quality",
+    """WITH p AS (SELECT user_id, event_type, count(CASE WHEN value >= 50 THEN 1 END) AS n FROM events GROUP BY 1, 2)
+SELECT user_id, count(*) AS compounds, count(*) FILTER (WHERE n > 0) AS valued, count(*) < 2 OR 2 * count(*) FILTER (WHERE n > 0) < count(*) AS low_quality FROM p GROUP BY 1""",
+)
+def q_low_quality(spark, d):
+    e = table(spark, d, "events").select("user_id", F.col("event_type").alias("compound_id"), F.when(F.col("value") >= 50, F.col("value")).alias("value"))
+    return tables.low_quality(e, ["user_id"])
+
+
+@query(
+    "q_better_of",
+    """WITH a AS (SELECT user_id, event_type AS assay, max(event_id) AS value FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), b AS (SELECT user_id, event_type AS assay, max(event_id) AS value FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2),
+ n AS (SELECT coalesce(x.user_id, y.user_id) AS user_id, coalesce(x.n, -1) > coalesce(y.n, -1) AS a_wins FROM (SELECT user_id, count(*) AS n FROM a GROUP BY 1) x FULL JOIN (SELECT user_id, count(*) AS n FROM b GROUP BY 1) y ON x.user_id = y.user_id),
+ u AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.assay, b.assay) AS assay, a.value AS va, b.value AS vb FROM a FULL JOIN b ON a.user_id = b.user_id AND a.assay = b.assay)
+SELECT u.user_id, assay, CASE WHEN a_wins THEN coalesce(va, vb) ELSE coalesce(vb, va) END AS value FROM u JOIN n ON n.user_id = u.user_id""",
+)
+def q_better_of(spark, d):
+    e = table(spark, d, "events").withColumn("compound_id", F.lit("c"))
+    part = lambda k: e.where(f"event_id % {k} = 0").groupBy("user_id", "compound_id", F.col("event_type").alias("assay")).agg(F.max("event_id").alias("value"))
+    return tables.better_of(part(2), part(3), ["user_id"]).select("user_id", "assay", "value")
+
+
+@query(
+    "q_merged_boundaries",
+    f"""WITH e AS (SELECT user_id, event_id, {SECONDS} AS s FROM events), l AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s) > 50000 THEN 1 ELSE 0 END AS n FROM e),
+ c AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM l) SELECT user_id, CAST(floor(sum(s) / count(*)) AS BIGINT) AS at FROM c GROUP BY user_id, g""",
+)
+def q_merged_boundaries(spark, d):
+    return ordered.merged_boundaries(_events(spark, d).select("user_id", F.col("s").alias("at")), ["user_id"], "at", 50000)
+
+
+@query(
+    "q_reading_order",
+    f"""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {BOX} FROM lineitem), l AS (SELECT *, CASE WHEN y1 - lag(y1) OVER (PARTITION BY l_orderkey ORDER BY y1, x1) > 50 THEN 1 ELSE 0 END AS n FROM b),
+ r AS (SELECT *, sum(n) OVER (PARTITION BY l_orderkey ORDER BY y1, x1 ROWS UNBOUNDED PRECEDING) AS row FROM l) SELECT l_orderkey, x1, y1, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY row, x1, y1) AS INT) AS number FROM r""",
+)
+def q_reading_order(spark, d):
+    return ordered.reading_order(_boxes(spark, d), ["l_orderkey"]).select("l_orderkey", "x1", "y1", "number")
+
+
+@query(
+    "q_column_edges",
+    f"""WITH b AS (SELECT DISTINCT l_orderkey, x1 FROM (SELECT l_orderkey, {BOX} FROM lineitem)), l AS (SELECT *, CASE WHEN x1 - lag(x1) OVER (PARTITION BY l_orderkey ORDER BY x1) > 60 THEN 1 ELSE 0 END AS n FROM b),
+ c AS (SELECT *, sum(n) OVER (PARTITION BY l_orderkey ORDER BY x1 ROWS UNBOUNDED PRECEDING) AS g FROM l) SELECT l_orderkey, min(x1) AS column_x FROM c GROUP BY l_orderkey, g""",
+)
+def q_column_edges(spark, d):
+    return ordered.column_edges(_boxes(spark, d).select("l_orderkey", "x1"), ["l_orderkey"], 60).select("l_orderkey", "column_x")
+
+
+@query(
+    "q_header_split",
+    f"""WITH b AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS seq, l_partkey % 300 AS x, 30 AS w, l_returnflag AS t FROM lineitem),
+ e AS (SELECT *, max(x + w) OVER (PARTITION BY l_orderkey ORDER BY x, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS edge FROM b), c AS (SELECT *, sum(CASE WHEN x - edge > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY x, seq ROWS UNBOUNDED PRECEDING) AS g FROM e)
+SELECT l_orderkey, string_agg(t, ' ' ORDER BY x, seq) AS name, min(x) AS x, max(x + w) AS "right" FROM c GROUP BY l_orderkey, g""",
+)
+def q_header_split(spark, d):
+    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    w = table(spark, d, "lineitem").select("l_orderkey", seq.alias("seq"), (F.col("l_partkey") % 300).alias("x"), F.lit(30).alias("w"), F.col("l_returnflag").alias("text"))
+    return ordered.split_header(w, ["l_orderkey"]).drop("column_no")
+
+
+@query("q_box_tests", f"SELECT l_orderkey, box_no, least(x2 - x1, y2 - y1) >= 50 AND greatest(x2 - x1, y2 - y1) / least(x2 - x1, y2 - y1) <= 5 AS structure, (x2 - x1) / 150 >= 0.55 AND (y2 - y1) / 200 >= 0.25 AND (x2 - x1) / 150 * ((y2 - y1) / 200) >= 0.2 AS scheme, CAST(greatest(15, least(50, trunc((x2 - x1 + y2 - y1) / 2 * 0.08))) AS INT) AS pad FROM (SELECT l_orderkey, l_linenumber AS box_no, {BOX} FROM lineitem)")
+def q_box_tests(spark, d):
+    b = G.box()
+    return _boxes(spark, d).select("l_orderkey", "box_no", G.is_structure_size(b).alias("structure"), G.is_scheme(b, F.lit(150), F.lit(200)).alias("scheme"), G.padding(b[2] - b[0], b[3] - b[1]).alias("pad"))
+
+
+@query("q_tiers", "SELECT o_custkey AS file, coalesce(min(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END), min(CASE WHEN o_orderkey % 3 = 1 THEN o_orderkey END)) AS start, CASE WHEN count(*) FILTER (WHERE o_orderkey % 3 = 0) > 0 THEN '0' ELSE '1' END AS tiers FROM orders WHERE o_orderkey % 3 < 2 GROUP BY 1")
+def q_tiers(spark, d):
+    o = table(spark, d, "orders")
+    tier = lambda k: o.where(f"o_orderkey % 3 = {k}").groupBy(F.col("o_custkey").alias("file")).agg(F.min("o_orderkey").alias("start"))
+    return choose.coalesce_tiers(tier(0), tier(1), key="file", columns=["start"])
+
+
+@query("q_assembled", "WITH u AS (SELECT o_custkey AS k, o_orderkey AS v, 0 AS r, 'high' AS source_name FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT o_custkey, o_orderkey, 1, 'all' FROM orders) SELECT k, arg_min(v, r * 1000000000 + v) AS v, arg_min(source_name, r * 1000000000 + v) AS source_name FROM u GROUP BY 1")
+def q_assembled(spark, d):
+    o = table(spark, d, "orders")
+    one = lambda df: df.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"))
+    return sampling.assembled({"high": one(o.where("o_totalprice > 300000")), "all": one(o)}, "k")
+
+
+@query("q_expected_labels", "SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) THEN 'example_compound' ELSE 'other' END AS label FROM orders")
+def q_expected_labels(spark, d):
+    s = table(spark, d, "orders").select("o_orderkey", F.lit("f").alias("file"), F.concat(F.lit("Example "), F.col("o_custkey")).alias("compound_id"))
+    t = table(spark, d, "customer").where("c_acctbal > 5000").select(F.lit("f").alias("file"), F.concat(F.col("c_custkey"), F.lit(".0")).alias("compound_id"))
+    return sampling.expected_labels(s, t).select("o_orderkey", "label")
+
+
+@query("q_page_verdict", "WITH f AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT o_orderkey, CASE WHEN coalesce(n, 0) - (1 + o_orderkey % 6) = 0 THEN 'PASS' WHEN coalesce(n, 0) > 1 + o_orderkey % 6 THEN concat('OVER(+', n - (1 + o_orderkey % 6), ')') ELSE concat('MISS(', coalesce(n, 0) - (1 + o_orderkey % 6), ')') END AS verdict FROM orders LEFT JOIN f ON l_orderkey = o_orderkey")
+def q_page_verdict(spark, d):
+    f = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    j = table(spark, d, "orders").join(f, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return j.select("o_orderkey", metrics.page_verdict(F.expr("1 + o_orderkey % 6"), F.col("n")).alias("verdict"))
+
+
+@query("q_display_merge", "SELECT c_custkey AS structure_id, CAST(c_custkey AS VARCHAR) AS assay_id, 2 AS rung FROM customer WHERE c_custkey % 2 = 0")
+def q_display_merge(spark, d):
+    c = table(spark, d, "customer")
+    s = c.select(F.col("c_custkey").alias("structure_id"), F.lit("f").alias("file"), F.concat(F.lit("Cpd "), F.col("c_custkey"), F.lit("-7")).alias("compound_id"))
+    a = c.where("c_custkey % 2 = 0").select(F.lit("f").alias("file"), F.col("c_custkey").cast("string").alias("assay_id"))
+    return merge.display_merge(s, a).select("structure_id", "assay_id", "rung")
+
+
+@query("q_top_heading", "SELECT o_custkey AS page, CAST(min(o_orderkey) % 1000 + 1 AS VARCHAR) AS heading FROM orders GROUP BY 1")
+def q_top_heading(spark, d):
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("page")).agg(F.min("o_orderkey").alias("m"))
+    w = o.select(F.lit("f").alias("file"), "page", F.inline(F.array(*[F.struct(F.lit(s).alias("seq"), t.alias("text"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(10).alias("h")) for s, t, x, y in ((0, (F.col("m") % 1000 + 1).cast("string"), 80, 101), (1, F.lit("Example"), 10, 100), (2, F.lit("Example 9999"), 10, 700), (3, F.lit("title"), 5, 50))])), F.lit(800).alias("page_h"))
+    return pages.top_heading(w).select("page", "heading")
