@@ -360,7 +360,15 @@ def q_row_gaps(spark, d):
     return layout.close_row_gaps(b, t, ["l_orderkey"]).drop("table_no")
 
 
-@query("q_greedy_match")
+@query(
+    "q_greedy_match",
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, {SECONDS} AS s FROM events), a AS (SELECT user_id, event_id AS left_id, s AS ls, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS k FROM e WHERE event_type = 'click'),
+ b AS (SELECT user_id, list({{'d': s, 'id': event_id}}) AS rights FROM e WHERE event_type = 'purchase' GROUP BY 1),
+ r AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS left_id, CAST(NULL AS STRUCT(c BIGINT, d BIGINT, id BIGINT)) AS best, rights FROM b
+  UNION ALL SELECT user_id, k, left_id, best, CASE WHEN best.c < 86400 THEN list_filter(rights, lambda x: x.id <> best.id) ELSE rights END
+   FROM (SELECT r.user_id, a.k, a.left_id, r.rights, list_sort(list_transform(r.rights, lambda x: {{'c': abs(x.d - a.ls), 'd': x.d, 'id': x.id}}))[1] AS best FROM r JOIN a ON a.user_id = r.user_id AND a.k = r.k + 1))
+SELECT user_id, left_id, best.id AS right_id, CAST(best.c AS DOUBLE) AS cost FROM r WHERE best.c < 86400""",
+)
 def q_greedy_match(spark, d):
     e = _events(spark, d)
     a = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("left_id"), F.col("s").alias("ls"))
