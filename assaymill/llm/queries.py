@@ -100,4 +100,48 @@ SELECT doc_id,
        doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept,
        text_sha256
 FROM h""",
+    "op1_near_vectors": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), u AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98
+), r AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT c.vec_id, coalesce(n.n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON n.vec_id = c.vec_id""",
+    "op6_substrings": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(generate_series(1, len(w) - 19)) AS pos, w FROM d WHERE len(w) >= 20
+), k AS (
+  SELECT doc_id, pos, array_to_string(list_slice(w, pos, pos + 19), ' ') AS window_words FROM s
+), f AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY window_words ORDER BY doc_id, pos) > 1 AS again FROM k
+), g AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + 19)) AS pos FROM f WHERE again
+), p AS (
+  SELECT doc_id, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM d
+), o AS (
+  SELECT p.doc_id, count(g.pos) AS n_removed, string_agg(CASE WHEN g.pos IS NULL THEN word END, ' ' ORDER BY p.pos) AS kept
+  FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.pos = p.pos GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN o ON o.doc_id = d.doc_id""",
+    "op10_chat": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, length('### ') + length(replace(regexp_replace(role, '(\\|###|</turn>|<\|)', '\\\1', 'g'), ':', '\:')) + length(': ')
+    + length(regexp_replace(text, '(\\|###|</turn>|<\|)', '\\\1', 'g')) + length('</turn>') + 1 AS n FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+FROM e GROUP BY 1""",
 }

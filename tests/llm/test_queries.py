@@ -222,3 +222,15 @@ def test_op10(spark):
         g = got[i]
         assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(rows), hashlib.sha256(said.encode()).hexdigest(), len(lost), hashlib.sha256(lost.encode()).hexdigest())
         assert g.formatted_chars > sum(len(t) for _, _, t in rows)
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_sql(spark, duck, name):
+    """Names, types and rows of the queries that SQL can express."""
+    kinds = {"BIGINT": "bigint", "VARCHAR": "string", "BOOLEAN": "boolean"}
+    found = queries.QUERIES[name](spark, SF)
+    with duck("sf0.001") as c:
+        want = c.sql(queries.ORACLE_SQL[name])
+        assert {n: kinds[str(t)] for n, t in zip(want.columns, want.types)} == dict(found.dtypes)
+        rows = sorted(want.fetchall())
+    assert sorted(tuple(r[n] for n in want.columns) for r in found.collect()) == rows
