@@ -232,5 +232,5 @@ def test_sql(spark, duck, name):
     with duck("sf0.001") as c:
         want = c.sql(queries.ORACLE_SQL[name])
         assert {n: kinds[str(t)] for n, t in zip(want.columns, want.types)} == dict(found.dtypes)
-        rows = sorted(want.fetchall())
-    assert sorted(tuple(r[n] for n in want.columns) for r in found.collect()) == rows
+        names, rows = list(want.columns), sorted(want.fetchall())
+    assert sorted(tuple(r[n] for n in names) for r in found.collect()) == rows
