@@ -155,10 +155,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_id = counts.groupBy(q(id_col).alias("_am_id")).agg(
         F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(1))).cast("long").alias("_am_times"), F.count(F.lit(1)).alias("_am_rows")
     )
+    per_id = stored(per_id)
     names = carried(docs, ["_am_id", "_am_times", "_am_rows", "_am_nth", "_am_copy"])
     once = per_id.where("_am_rows = 1 and _am_times > 0").select("_am_id", "_am_times")
-    rows = docs.select(*map(q, names)).join(once, q(id_col).eqNullSafe(F.col("_am_id")))
-    more = per_id.where("_am_rows > 1 and _am_times > 0")
+    # texts are shuffled only where the counted ids are too many to broadcast
+    rows = docs.select(*map(q, names)).join(small_side(once), q(id_col).eqNullSafe(F.col("_am_id")))
+    more = small_side(per_id.where("_am_rows > 1 and _am_times > 0"))
     nth = Window.partitionBy("_am_id").orderBy(F.xxhash64(text_of(text_col)))
     again = docs.select(*map(q, names)).join(more, q(id_col).eqNullSafe(F.col("_am_id"))).withColumn("_am_nth", F.row_number().over(nth) - 1)
     again = again.withColumn("_am_times", F.expr("_am_times div _am_rows") + (F.col("_am_nth") < F.expr("_am_times % _am_rows")).cast("long"))
