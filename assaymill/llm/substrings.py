@@ -5,7 +5,7 @@ in a difference cover.  For any two positions some shift below 13 puts both on
 the cover, so two equal windows of 20 words always share an aligned anchor of 8
 words at equal distance from their starts.  Anchors that occur once end there.
 Around the others the match is extended: every 20-word window holding a
-repeated anchor is hashed in 128 bits, and windows with equal words are compared
+repeated anchor is hashed in 96 bits, and windows with equal words are compared
 by place; all but the first are repeats.
 
 Before each shuffle a task reduces its own rows: of equal anchors (or windows)
@@ -108,7 +108,8 @@ def _own_key(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """``hash, doc, at, known`` of the anchors of (id, text) rows."""
+    """``hash, doc, at`` of the anchors of (id, text) rows; the place is doubled,
+    and odd where the anchor is known to be repeated."""
     width = window - PERIOD + 1
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True
@@ -130,13 +131,13 @@ def anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         later = np.ones(len(key), bool)
         later[first] = False
         key = np.where(later, _own_key(doc, at), key)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(at), pa.array(known)], names=["hash", "doc", "at", "known"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(2 * at + known, pa.int32())], names=["hash", "doc", "at"])
 
 
 def candidate_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """``hash, hash2, doc, at, run, known`` of the windows holding one of the
-    anchors listed in the third column.  Windows known to be repeats come as
-    runs of ``run`` starts."""
+    """``hash, hash2, doc, at, run`` of the windows holding one of the anchors
+    listed in the third column: 96 bits of hash and the place.  Windows known to
+    be repeats come as runs of ``run`` starts; others have ``run`` 0."""
     for ids, texts, listed in _batches(batches):
         h, starts = _together(texts, 0)
         if len(h) < window:
@@ -165,22 +166,18 @@ def candidate_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterato
         # of rows at the least place itself (an id given twice) one travels
         seen = ~repeated & ~new
         lead = ~repeated & ~seen
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(k1[lead].view(np.int64)), pa.array(k2[lead].view(np.int64)), pa.array(d[lead]), pa.array(a[lead].astype(np.int32)), pa.array(np.ones(lead.sum(), np.int32)), pa.array(np.zeros(lead.sum(), bool))],
-            names=["hash", "hash2", "doc", "at", "run", "known"],
-        )
+        rows = [(k1[lead], k2[lead], d[lead], a[lead], np.zeros(lead.sum()))]
         if repeated.any():
             d, a = d[repeated], a[repeated]
             order = np.lexsort((a, d))
             d, a = d[order], a[order]
             head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (a[1:] > a[:-1] + 1)])
             tail = np.r_[head[1:] - 1, len(d) - 1]
-            run = (a[tail] - a[head] + 1).astype(np.int32)
-            own = _own_key(d[head], a[head]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own), pa.array(own), pa.array(d[head]), pa.array(a[head].astype(np.int32)), pa.array(run), pa.array(np.ones(len(head), bool))],
-                names=["hash", "hash2", "doc", "at", "run", "known"],
-            )
+            own = _own_key(d[head], a[head])
+            rows.append((own, own, d[head], a[head], a[tail] - a[head] + 1))
+        for key, key2, doc, at, run in rows:
+            short = (key2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(short), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(run.astype(np.int32))], names=["hash", "hash2", "doc", "at", "run"])
 
 
 def _marked(n: int, runs: np.ndarray | None, window: int) -> np.ndarray:
@@ -229,15 +226,15 @@ def _of_listed(docs: DataFrame, listed: DataFrame, n: int, column: str) -> DataF
 def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc, runs``: for each document of ``docs (doc, text)`` the repeated
     windows as runs (first start << 32 | number of starts)."""
-    found = docs.mapInArrow(lambda b: anchors(b, window), "hash long, doc long, at int, known boolean")
-    again = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash"))).where("known or n > 1")
-    listed = stored(again.groupBy("doc").agg(F.collect_set("at").alias("at")))
+    found = docs.mapInArrow(lambda b: anchors(b, window), "hash long, doc long, at int")
+    again = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash"))).where("at % 2 = 1 or n > 1")
+    listed = stored(again.groupBy("doc").agg(F.collect_set(F.shiftright("at", 1)).alias("at")))
     some = _of_listed(docs, listed, listed.count(), "at")
-    made = some.mapInArrow(lambda b: candidate_windows(b, window), "hash long, hash2 long, doc long, at int, run int, known boolean")
+    made = some.mapInArrow(lambda b: candidate_windows(b, window), "hash long, hash2 int, doc long, at int, run int")
     place = F.struct("doc", "at")
     least = F.min(place).over(Window.partitionBy("hash", "hash2"))
-    gone = made.withColumn("first", least).where(F.col("known") | (place != F.col("first")))
-    packed = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("run").cast("long"))
+    gone = made.withColumn("first", least).where((F.col("run") > 0) | (place != F.col("first")))
+    packed = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.greatest(F.lit(1), F.col("run")).cast("long"))
     return gone.groupBy("doc").agg(F.collect_set(packed).alias("runs"))
 
 
