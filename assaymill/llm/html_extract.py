@@ -29,9 +29,11 @@ from .common import carried, q, text_of
 PATHS, WORDS, COUNTS = 1024, 2048, 8
 WEIGHTS = Path(__file__).with_name("html_weights.npz")
 
-_RAW = "script|style|title|textarea|template|noscript|iframe|svg|math|object|canvas|noframes|noembed|xmp"
+#: Elements whose content is no markup, up to their end tag or the page's end.
+#: (Empty titles and styles are those of drawings.)
+_RAW = "script|style|title|textarea"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])(?!(?<=title)\s*/>|(?<=style)\s*/>)[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>",
     re.S | re.I,
@@ -43,6 +45,8 @@ _BLOCK = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What an opening tag closes implicitly, and the tags past which it doesn't look.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody"), "tfoot": ("tbody",)}
+#: What ends a drawing that was left open.
+_BREAKOUT = _BLOCK | frozenset("b big br code em embed hr i img meta nobr ruby s small span strike strong sub sup tt u var".split())
 _SCOPE = frozenset("article aside body div dl footer form header html li main nav ol section table td th ul".split())
 
 
@@ -70,7 +74,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[int, ...]]] = []
     parts: list[str] = []
-    linked, links = 0, 0
+    linked, links, drawn = 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -85,14 +89,15 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     def pop(to: int) -> None:
-        nonlocal links
+        nonlocal links, drawn
         for tag, _ in stack[to:]:
             links -= tag == "a"
+            drawn -= tag == "svg"
         del stack[to:]
 
     at = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not drawn:
             piece = page[at : m.start()]
             parts.append(piece)
             linked += len(piece) if links else 0
@@ -109,6 +114,8 @@ def blocks(page: str) -> list[Block]:
                     pop(k)
                     break
             continue
+        if drawn and tag in _BREAKOUT:
+            pop(next(k for k, (open_tag, _) in enumerate(stack) if open_tag == "svg"))
         if tag == "br":
             parts.append(" ")
         elif tag in _BLOCK:
@@ -125,7 +132,8 @@ def blocks(page: str) -> list[Block]:
         if tag not in _VOID and not attrs.endswith("/"):
             stack.append((tag, _features(tag, attrs)))
             links += tag == "a"
-    if at < len(page):
+            drawn += tag == "svg"
+    if at < len(page) and not drawn:
         parts.append(page[at:])
     flush()
     return out
