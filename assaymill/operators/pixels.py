@@ -299,23 +299,57 @@ def accepted(page: np.ndarray, candidate: Box, sample: Box, least: float = -0.3)
     return has_structure_ink(cut(candidate)) and correlation(cut(candidate), cut(sample)) >= least
 
 
-def located(page: np.ndarray, drawing: np.ndarray, scales: tuple[float, ...] = (0.4, 0.55, 0.7, 0.85, 1.0, 1.15, 1.3, 1.45, 1.6), least: float = 0.5, step: int = 4) -> Box | None:
-    """Where a drawing best correlates with the page over scales; None below
-    the least correlation."""
+def correlations(page: np.ndarray, drawing: np.ndarray) -> np.ndarray:
+    """Normalised correlation of a drawing with the page at every pixel where it
+    fits, 0 on flat areas: products by FFT, means and norms by running sums."""
+    h, w = drawing.shape
+    y = drawing - drawing.mean()
+    norm = (y * y).sum()
+    level = page - page.mean()
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        run = np.pad(x.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+        return run[h:, w:] - run[:-h, w:] - run[h:, :-w] + run[:-h, :-w]
+
+    ink = page.astype(np.int64)
+    spread = sums(ink * ink) - sums(ink).astype(float) ** 2 / (h * w)
+    products = np.fft.irfft2(np.fft.rfft2(level) * np.conj(np.fft.rfft2(y, page.shape)), page.shape)[: page.shape[0] - h + 1, : page.shape[1] - w + 1]
+    some = (spread > 0.25) & (norm > 0.25)  # of whole grey levels, less is rounding
+    return np.where(some, products / np.sqrt(np.where(some, spread * norm, 1.0)), 0.0)
+
+
+def _best(page: np.ndarray, drawing: np.ndarray) -> tuple[float, Box]:
+    found = correlations(page, drawing)
+    y, x = map(int, np.unravel_index(np.argmax(found), found.shape))
+    return float(found[y, x]), (x, y, x + drawing.shape[1], y + drawing.shape[0])
+
+
+def located(page: np.ndarray, drawing: np.ndarray, scales: tuple[float, ...] = (0.4, 0.55, 0.7, 0.85, 1.0, 1.15, 1.3, 1.45, 1.6), least: float = 0.5) -> Box | None:
+    """Where a drawing best correlates with the page over scales and all
+    pixels; None unless above the least correlation."""
     best: tuple[float, Box] | None = None
     for scale in scales:
         h, w = (max(1, int(n * scale)) for n in drawing.shape)
         if h > page.shape[0] or w > page.shape[1]:
             continue
         small = drawing[np.linspace(0, drawing.shape[0] - 1, h).astype(int)][:, np.linspace(0, drawing.shape[1] - 1, w).astype(int)]
-        for y in range(0, page.shape[0] - h + 1, step):
-            for x in range(0, page.shape[1] - w + 1, step):
-                c = correlation(page[y : y + h, x : x + w], small)
-                if best is None or c > best[0]:
-                    best = (c, (x, y, x + w, y + h))
+        found = _best(page, small)
+        if best is None or found[0] > best[0]:
+            best = found
     return best[1] if best and best[0] > least else None
 
 
+def placed(page: np.ndarray, drawings: list[np.ndarray], least: float = 0.3) -> list[Box]:
+    """A box for each drawing at its own scale: where it correlates best, the
+    page's centre if it is as large as the page or not above ``least``."""
+    out, (ph, pw) = [], page.shape
+    for drawing in drawings:
+        h, w = drawing.shape
+        score, box = _best(page, drawing) if h < ph and w < pw else (0.0, (0, 0, 0, 0))
+        out.append(box if score > least else (max(0, (pw - w) // 2), max(0, (ph - h) // 2), min(pw, (pw + w) // 2), min(ph, (ph + h) // 2)))
+    return out
+
+
 def ordered_detection(pages: DataFrame, step: Callable[[np.ndarray, dict], list[Box]]) -> DataFrame:
     """Boxes of pages read in order within a file, with state carried along
     (``step(page, state)``): for detectors that reuse a table's columns on its
