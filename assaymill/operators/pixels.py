@@ -194,7 +194,9 @@ def enhanced(region: np.ndarray, how: str = "stretch", size: int = 384) -> np.nd
         y, x = (n - region.shape[0]) // 2, (n - region.shape[1]) // 2
         out[y : y + region.shape[0], x : x + region.shape[1]] = region
         return out
-    return region
+    if how == "whole":
+        return region
+    raise ValueError(f"unknown variant {how!r}")
 
 
 Box = tuple[int, int, int, int]
