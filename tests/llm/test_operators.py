@@ -5,8 +5,9 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -183,15 +184,37 @@ def test_rounds_merge_residuals(spark):
 ALPHABET = "abcdeABC'’.!-_ \t\n\x1c\x85 éÉß´́ñ漢字٣12²ªº½ʼΣσςİ🙂<>|"
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(ALPHABET, max_size=30))
-def test_word_tokens_are_the_texts_tokens(text):
-    known = packing._KNOWN.setdefault(packing.default_tokenizer(), packing.WordTokens(packing.default_tokenizer()))
-    if "<|" in text:
-        return
-    split = text.encode().lower().split()
-    known.learn(set(split))
-    assert b"".join(known.words[w] for w in split) == known.whole(text)
+@pytest.mark.parametrize("slab", [40, packing.SLAB])
+@settings(max_examples=200, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts=st.lists(st.text(ALPHABET, max_size=120), max_size=6))
+def test_piece_tokens_are_the_texts_tokens(slab, monkeypatch, texts):
+    """Batches, contractions, special tokens, and texts cut in slabs."""
+    monkeypatch.setattr(packing, "SLAB", slab)
+    known = packing._KNOWN.setdefault(packing.default_tokenizer(), packing.PieceTokens(packing.default_tokenizer()))
+    column = pa.array(["before", *texts], pa.string()).cast(pa.binary()).slice(1)
+    got = [ids.tobytes() for at, n in packing._slabs(column) for ids in packing.token_ids(column.slice(at, n), known)]
+    assert got == [known.whole(t) for t in texts]
+
+
+def test_forgotten_pieces_are_learnt_again(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 1000)
+    known = packing.PieceTokens(packing.default_tokenizer())
+    for k in range(30):
+        texts = [f"word{j}a{k % 3}b don't Ünï{j}x, ..." for j in range(10)]
+        column = pa.array([t.encode() for t in texts], pa.binary())
+        assert [i.tobytes() for i in packing.token_ids(column, known)] == [known.whole(t) for t in texts]
+    assert len(known.known) + len(known.older) < 120
+
+
+def test_sizes_that_hardly_merge_keep_their_groups(spark):
+    """Pieces of more than half a sequence: no task gets them all."""
+    rows = [(i, 0, 0, 51 + i % 40, i) for i in range(2000)]
+    pieces = spark.createDataFrame(rows, "doc long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack_pieces(pieces, 100, items_per_group=100)
+    got = out.collect()
+    assert len(got) == len({r.item for r in got}) == 2000 and sorted(r.doc for r in got) == list(range(2000))
+    per_group = out.groupBy(F.expr("shiftright(item, 32)")).count().agg(F.max("count")).first()[0]
+    assert per_group <= 300
 
 
 def test_sequences_hold_the_ids(spark):
