@@ -1,5 +1,5 @@
-"""What the corpus operators share: patterns, lineage cuts, size-checked
-broadcasts and column bookkeeping."""
+"""What the corpus operators share: patterns, lineage cuts, a sieve of fixed
+size that keeps texts out of joins, and column bookkeeping."""
 
 from __future__ import annotations
 
@@ -14,18 +14,21 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A side is broadcast when it has been counted and has at most so many rows
-#: of a few machine words each (some 40 MB); beyond that the join shuffles.
-BROADCAST_ROWS = 400_000
+#: Bits of a sieve: at most 2^20 words of 64 bits are broadcast (16 MB),
+#: however many keys it holds.
+SIEVE_BITS = 26
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session,
-    or a local one where that is unset (single-machine tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+    Where that is unset a local master gets a folder of its own; on a cluster
+    it is an error, since executors wouldn't see each other's disks."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
-        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="assaymill-")
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="assaymill-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
@@ -63,11 +66,56 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` hinted for broadcast if its counted rows are few enough, else
-    unchanged, so that the planner joins by shuffle."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+def sieve(keys: DataFrame, *columns: Column) -> DataFrame:
+    """A set of keys as bits of a fixed-size table, ``_am_word, _am_bits``:
+    what it doesn't hold isn't among the keys; of other values a share passes
+    that grows with the number of keys (1.5 % for a million)."""
+    bit = F.pmod(F.xxhash64(*columns), F.lit(1 << SIEVE_BITS))
+    words = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("_am_word"))
+    return stored(words.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("_am_bits")))
+
+
+def sifted(rows: DataFrame, by: DataFrame, *columns: Column) -> DataFrame:
+    """``rows`` with ``_am_maybe``: false for those whose ``columns`` the sieve
+    ``by`` doesn't hold.  So wide rows that have nothing to be joined with skip
+    the join; the others still go through an exact one."""
+    bit = F.pmod(F.xxhash64(*columns), F.lit(1 << SIEVE_BITS))
+    both = rows.withColumn("_am_bit", bit).join(F.broadcast(by), F.shiftright("_am_bit", 6) == F.col("_am_word"), "left")
+    hit = F.coalesce(F.getbit("_am_bits", F.pmod("_am_bit", F.lit(64)).cast("int")) == 1, F.lit(False))
+    return both.withColumn("_am_maybe", hit).drop("_am_bit", "_am_word", "_am_bits")
+
+
+def row_tie(text_col: str) -> Column:
+    """With the id it names a row, up to rows that repeat both id and text."""
+    return F.xxhash64(text_of(text_col))
+
+
+def one_of_each(docs: DataFrame, id_col: str, text_col: str, members: DataFrame) -> DataFrame:
+    """The rows of ``docs`` of which each group keeps one: the smallest id
+    (null last), then the smallest hash of the text; of rows equal in both one.
+
+    ``members`` (``_am_id, _am_tie``, and the group ``_am_part``, never null)
+    lists every row of ``docs``, or those of all groups of more than one.
+    Decisions are joined as narrow rows; a sieve lets all other texts pass
+    without a shuffle, and only rows it holds are joined."""
+    alike = members.groupBy("_am_part", "_am_id", "_am_tie").agg(F.count(F.lit(1)).alias("_am_rows"))
+    order = F.struct(F.col("_am_id").isNull().alias("no"), F.col("_am_id").alias("id"), F.col("_am_tie").alias("tie"))
+    alike = stored(alike)
+    firsts = alike.groupBy("_am_part").agg(F.min(order).alias("_am_first"), F.sum("_am_rows").alias("_am_n")).where("_am_n > 1").drop("_am_n")
+    placed = alike.join(stored(firsts), "_am_part").where((F.col("_am_first") != order) | (F.col("_am_rows") > 1))
+    marked = stored(placed.select(F.col("_am_id").alias("_am_of"), F.col("_am_tie").alias("_am_with"), (F.col("_am_first") == order).alias("_am_again")))
+    names = carried(docs, ["_am_of", "_am_with", "_am_again", "_am_tie", "_am_bit", "_am_word", "_am_bits", "_am_maybe"])
+    rows = docs.select(*map(q, names)).withColumn("_am_tie", row_tie(text_col))
+    rows = sifted(rows, sieve(marked, F.col("_am_of"), F.col("_am_with")), q(id_col), F.col("_am_tie"))
+    same = q(id_col).eqNullSafe(F.col("_am_of")) & (F.col("_am_tie") == F.col("_am_with"))
+    clear = rows.where(~F.col("_am_maybe")).select(*map(q, names))
+    rest = rows.where("_am_maybe").join(marked, same, "left_anti").select(*map(q, names))
+    out = clear.unionByName(rest)
+    again = marked.where("_am_again")
+    if not again.isEmpty():
+        once = rows.where("_am_maybe").join(again, same, "left_semi").dropDuplicates([id_col, "_am_tie"])
+        out = out.unionByName(once.select(*map(q, names)))
+    return out
 
 
 def q(name: str) -> Column:

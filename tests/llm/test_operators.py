@@ -99,15 +99,21 @@ def ball(r, base, n, most):
     return out
 
 
-@pytest.mark.parametrize("pairwise", [0, 3, 1024])
-def test_links_connect_what_all_pairs_connect(spark, pairwise):
-    """Any share of crowded keys gives the components of all pairs."""
-    r = random.Random(pairwise)
+def test_masks_are_the_ball_by_parity():
+    for odd in (False, True):
+        all_of = [m for lead in range(8) for m in simhash.masks(odd, lead)]
+        assert len(all_of) == len(set(all_of)) == 65 + 992 * odd and max(m.bit_count() for m in all_of) == 1 + odd
+
+
+@pytest.mark.parametrize("bits", [1, 3])
+def test_links_connect_what_all_pairs_connect(spark, bits):
+    """Balls, clusters and lone fingerprints: the components of all pairs."""
+    r = random.Random(bits)
     prints = set().union(*(ball(r, r.getrandbits(64), 40, m) for m in (2, 3, 5, 9)), {r.getrandbits(64) for _ in range(60)}, {0, 1 << 63, (1 << 64) - 1})
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >= 1 << 63 else p for p in prints]
     want = union_find(len(prints), [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3])
-    found = simhash.links(spark.createDataFrame([(s,) for s in signed], "_am_fp long"), pairwise).collect()
+    found = simhash.links(spark.createDataFrame([(s,) for s in signed], "_am_fp long"), bits).collect()
     at = {s: k for k, s in enumerate(signed)}
     assert all((prints[at[x.a]] ^ prints[at[x.b]]).bit_count() <= 3 for x in found)
     assert union_find(len(prints), [(at[x.a], at[x.b]) for x in found]) == want
@@ -144,8 +150,8 @@ def test_substrings_brute_force(spark, window, monkeypatch):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(5)
     got = {g.doc_id: (g.n_words, g.n_removed, g.kept_sha256) for g in substrings.substring_dedup(df, window=window).collect()}
     assert got == removed({i: [x.encode() for x in w] for i, w in texts.items()}, window)
-    # the way beyond the broadcast bound
-    monkeypatch.setattr(substrings, "BROADCAST_ROWS", 0)
+    # a sieve so full that nearly every text passes it
+    monkeypatch.setattr("assaymill.llm.common.SIEVE_BITS", 6)
     assert {g.doc_id: (g.n_words, g.n_removed, g.kept_sha256) for g in substrings.substring_dedup(df, window=window).collect()} == got
 
 
@@ -227,7 +233,7 @@ def test_sequences_hold_the_ids(spark):
 def test_hot_source_crosses_slices(spark):
     rows = [(i, "w " * (1 + i % 50), "hot" if i % 3 else f"s{i % 4}") for i in range(3000)] + [(9999, "x", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = mixing.mix(df, rows_per_slice=64).collect()
+    out = mixing.mix(df, rows_ordered=64).collect()
     source = {r[0]: r[2] for r in rows}
     per = {}
     for r in out:
@@ -236,7 +242,7 @@ def test_hot_source_crosses_slices(spark):
         of[2] = max(of[2], r["size"])
     for taken, target, largest in per.values():
         assert abs(taken - target) <= largest / 2 + 1
-    copies = mixing.mixed_documents(df, rows_per_slice=64).groupBy("doc_id").count().collect()
+    copies = mixing.mixed_documents(df, rows_ordered=64).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in copies} == {r.doc_id: r.taken // r["size"] for r in out if r.taken}
 
 
