@@ -1,19 +1,22 @@
 """SimHash near-deduplication by meet-in-the-middle ball hashing.
 
-Fingerprints are reduced to distinct ones first.  Every fingerprint emits its
-ball of half the radius (3 // 2 = 1 flipped bit).  Two fingerprints within 3
-bits differ in at most one bit in one of their 32-bit halves, so walking one
-step from either side they meet there: the shuffle key is the variant cut to a
-half, at most 2 x 33 keys a fingerprint.  Keys nobody shares drop out; on keys
-with few fingerprints the pairs are verified by their whole distance.
-
-Keys that many fingerprints share (large clusters of near copies) are resolved
-without pairs: their fingerprints emit 64-bit variants, all at one flip (role
-A) and those at two flips of equally placed parity (role B).  A meets A at
-distance 2, A meets B at distance 3 (of three differing bits two share a
-parity), so all fingerprints at a variant are within the radius of its smallest
-A and are linked to that one alone: the links grow with the cluster, not with
-its square, and connect what all pairs would connect."""
+Fingerprints are reduced to distinct ones first.  Each emits the 64-bit variants
+within half the radius: 3 is odd, so fingerprints with an even number of ones
+emit their ball of radius 1 (65 variants) and odd ones that of radius 2.  Two
+fingerprints at distance 1 or 2 meet at a variant within 1 of both.  At distance
+3 their parities differ, and the odd one, two flips away, meets the even one's
+ball of radius 1; of three differing bits two have places of like parity, so
+flips at such pairs of places are enough (992 of 2,016).
+
+All fingerprints at a variant that is within 1 of one of them are within the
+radius of that one; each variant links them to the smallest such.  The links
+grow with the number of variants that meet, not with the square of a cluster,
+and connect what all pairs would connect.  A variant holds at most 1,057
+distinct fingerprints, so no group of the shuffle is ever large.
+
+Variants are taken in passes by their leading bits, so that one pass, not all of
+them, lies on disk; a fingerprint emits in a pass just the variants that have
+those bits."""
 
 from __future__ import annotations
 
@@ -27,15 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import carried, cut, q, small_side, stored, text_of
+from .common import cut, one_of_each, q, row_tie, stored, text_of
 from .components import components
 
 SEED = 42
 RADIUS = 3
-#: Fingerprints on one key up to which pairs are verified one by one: about
-#: where that costs a fingerprint as much as its 65 + 992 variants.
-PAIRWISE = 1024
-_MADE = ["fingerprint", "component_id", "_am_fp", "_am_id", "_am_text", "_am_component"]
+#: Passes over the variants: one for each value of so many leading bits.
+PASS_BITS = 3
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -55,58 +56,60 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``_am_id, _am_fp`` (the fingerprint as a signed long) of every row."""
+    """``_am_id, _am_tie, _am_fp`` (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.empty(batch.num_rows, np.uint64)
-            for k, text in enumerate(batch.column(1)):
+            for k, text in enumerate(batch.column(2)):
                 out[k] = fingerprint(text.as_py() or b"", shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["_am_id", "_am_fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=["_am_id", "_am_tie", "_am_fp"])
 
-    rows = docs.select(q(id_col).alias("_am_id"), text_of(text_col).cast("binary").alias("_am_text"))
-    return rows.mapInArrow(run, f"_am_id {rows.schema['_am_id'].dataType.simpleString()}, _am_fp long")
+    rows = docs.select(q(id_col).alias("_am_id"), row_tie(text_col).alias("_am_tie"), text_of(text_col).cast("binary").alias("_am_text"))
+    return rows.mapInArrow(run, f"_am_id {rows.schema['_am_id'].dataType.simpleString()}, _am_tie long, _am_fp long")
 
 
-def _distance(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def _flips(value: Column, masks: list[int]) -> Column:
-    return F.transform(F.array(*[F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long") for m in masks]), lambda m: value.bitwiseXOR(m))
+def masks(odd: bool, lead: int, bits: int = PASS_BITS) -> list[int]:
+    """What a fingerprint of that parity is flipped by to give its variants
+    whose leading bits differ from its own by ``lead``."""
+    one = [0] + [1 << k for k in range(64)]
+    two = [1 << j | 1 << k for k in range(64) for j in range(k % 2, k, 2)] if odd else []
+    return [m for m in [*one, *two] if m >> (64 - bits) == lead]
 
 
-def links(distinct: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
+def links(distinct: DataFrame, bits: int = PASS_BITS) -> DataFrame:
     """``a, b``: links between the fingerprints ``_am_fp`` (distinct longs),
     enough to connect all that are within 3 bits of each other."""
-    one = [0] + [1 << k for k in range(32)]
-    low = F.col("_am_fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned("_am_fp", 32)
-    keys = F.concat(_flips(low, one), F.transform(_flips(high, one), lambda v: v.bitwiseOR(F.lit(1 << 32))))
-    ball = distinct.select("_am_fp", F.posexplode(keys).alias("pos", "key")).select("_am_fp", "key", (F.col("pos") % 33 == 0).alias("own"))
-    on_key = Window.partitionBy("key")
-    shared = (
-        ball.withColumn("n", F.count(F.lit(1)).over(on_key))
-        .withColumn("owners", F.count_if("own").over(on_key))
-        .where("n > 1 and owners > 0")
-        .select("key", "_am_fp", "own", "n")
-    )
-    shared = stored(shared)
-    few = shared.where(F.col("n") <= pairwise)
-    mine = few.where("own").select("key", F.col("_am_fp").alias("a"))
-    theirs = few.select("key", F.col("_am_fp").alias("b"))
-    # of a pair the smaller one's own key is among the larger one's keys, so one order is enough
-    verified = mine.join(theirs, (mine["key"] == theirs["key"]) & (F.col("a") < F.col("b")) & (_distance("a", "b") <= RADIUS)).select("a", "b").distinct()
-    crowded = cut(shared.where(F.col("n") > pairwise).select("_am_fp").distinct())
-    if crowded.isEmpty():
-        return verified
-    near = [0] + [1 << k for k in range(64)]
-    far = [1 << j | 1 << k for k in range(64) for j in range(k % 2, k, 2)]
-    variants = F.concat(_flips(F.col("_am_fp"), near), _flips(F.col("_am_fp"), far))
-    spread = crowded.repartition("_am_fp").select("_am_fp", F.posexplode(variants).alias("pos", "variant"))
-    least = F.min(F.when(F.col("pos") < len(near), F.col("_am_fp"))).over(Window.partitionBy("variant"))
-    starred = spread.withColumn("a", least).where("a <> _am_fp").select("a", F.col("_am_fp").alias("b")).distinct()
-    return verified.unionByName(starred)
+    lists = lambda odd: F.array(*[F.array(*[F.lit(_signed(m)).cast("long") for m in masks(odd, lead, bits)]).cast("array<long>") for lead in range(1 << bits)])
+    odd = F.bit_count("_am_fp") % 2 == 1
+    within_one = F.bit_count(F.col("_am_fp").bitwiseXOR(F.col("variant"))) <= 1
+    least = F.min(F.when(within_one, F.col("_am_fp"))).over(Window.partitionBy("variant"))
+    found = None
+    for lead in range(1 << bits):
+        own = F.shiftrightunsigned("_am_fp", 64 - bits).bitwiseXOR(F.lit(lead)).cast("int") + 1
+        flips = F.when(odd, F.element_at(lists(True), own)).otherwise(F.element_at(lists(False), own))
+        spread = distinct.select("_am_fp", F.explode(F.transform(flips, lambda m: F.col("_am_fp").bitwiseXOR(m))).alias("variant"))
+        some = stored(spread.withColumn("a", least).where("a <> _am_fp").select("a", F.col("_am_fp").alias("b")).distinct())
+        found = some if found is None else found.unionByName(some)
+        # lets Spark's cleaner drop the pass's shuffle before the next one
+        distinct.sparkSession._jvm.System.gc()
+    return found.distinct()
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """``_am_id, _am_tie, _am_fp`` of every row, and ``_am_of, _am_part,
+    component_id`` of every fingerprint."""
+    rows = stored(fingerprints(docs, id_col, text_col, shingle))
+    distinct = stored(rows.groupBy("_am_fp").agg(F.min("_am_id").alias("least")))
+    parts = cut(components(links(distinct.select("_am_fp"))))
+    joined = distinct.join(parts, F.col("_am_fp") == F.col("node"), "left").withColumn("_am_part", F.coalesce("component", "_am_fp"))
+    joined = stored(joined.select(F.col("_am_fp").alias("_am_of"), "_am_part", "least"))
+    named = joined.groupBy("_am_part").agg(F.min("least").alias("component_id"))
+    return rows, stored(joined.drop("least").join(named, "_am_part"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -117,24 +120,25 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts have fingerprint zero and are linked like any other.
     Null ids are never smallest while another is there.  Rows that repeat an id
     each get a row.  Empty input: empty output.  Other columns play no part."""
-    rows = stored(fingerprints(docs, id_col, text_col, shingle))
-    distinct = stored(rows.groupBy("_am_fp").agg(F.min("_am_id").alias("least")))
-    parts = cut(components(links(distinct.select("_am_fp"))))
-    joined = distinct.join(parts, F.col("_am_fp") == F.col("node"), "left").withColumn("part", F.coalesce("component", "_am_fp"))
-    joined = stored(joined.select("_am_fp", "part", "least"))
-    of_part = joined.where("part is not null").groupBy("part").agg(F.min("least").alias("component_id"))
-    named = stored(joined.join(of_part, "part").select("_am_fp", "component_id"))
-    return rows.join(small_side(named), "_am_fp").select(
+    rows, named = _grouped(docs, id_col, text_col, shingle)
+    return rows.join(named, F.col("_am_fp") == F.col("_am_of")).select(
         F.col("_am_id").alias(id_col), F.lpad(F.lower(F.hex("_am_fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def kept_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def kept_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` of which each group keeps one, with their own
-    columns.  Rows that repeat the id that stays keep one of them."""
-    groups = simhash_groups(docs, id_col, text_col, shingle)
-    stay = groups.where(q(id_col).eqNullSafe(F.col("component_id"))).groupBy(q(id_col).alias("_am_id")).agg(F.count(F.lit(1)).alias("_am_rows"))
-    stay = stored(stay)
-    names = carried(docs, ["_am_id", "_am_rows"])
-    out = docs.select(*map(q, names)).join(small_side(stay), q(id_col).eqNullSafe(F.col("_am_id")))
-    return out.where("_am_rows = 1").select(*map(q, names)).unionByName(out.where("_am_rows > 1").dropDuplicates([id_col]).select(*map(q, names)))
+    columns: the smallest id, null last; of rows that repeat it one.
+
+    Groups are those of :func:`simhash_groups`, or, given a ``similarity``, of
+    texts whose sets of ``shingle`` words have a Jaccard index of that or more.
+    No ball of fingerprints reaches a bound like 0.8 (such pairs differ in some
+    10 of 64 bits), so these are found exactly (:mod:`.jaccard`).
+
+    Null and empty texts equal each other; empty input gives empty output."""
+    if similarity is not None:
+        from .jaccard import members
+
+        return one_of_each(docs, id_col, text_col, members(docs, id_col, text_col, shingle, similarity))
+    rows, named = _grouped(docs, id_col, text_col, shingle)
+    return one_of_each(docs, id_col, text_col, rows.join(named, F.col("_am_fp") == F.col("_am_of")).select("_am_id", "_am_tie", "_am_part"))
