@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, q, stored, text_of
+from .common import q, sieve, sifted, stored, text_of
 
 #: A perfect difference set: every residue modulo 13 is a difference of two.
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -215,12 +215,11 @@ def _kept(window: int, with_text: bool):
     return run
 
 
-def _of_listed(docs: DataFrame, listed: DataFrame, n: int, column: str) -> DataFrame:
-    """(doc, text, ``column``) of the documents in ``listed``; with few enough
-    ids other texts go before the shuffle."""
-    if n <= BROADCAST_ROWS:
-        docs = docs.join(F.broadcast(listed.select("doc")), "doc", "left_semi")
-    return docs.join(listed, "doc").select("doc", "text", column)
+def _of_listed(docs: DataFrame, listed: DataFrame, by: DataFrame, column: str) -> DataFrame:
+    """(doc, text, ``column``) of the documents in ``listed``; other texts, as
+    far as the sieve ``by`` tells them, go before the shuffle."""
+    some = sifted(docs, by, F.col("doc")).where("_am_maybe")
+    return some.join(listed, "doc", "left").select("doc", "text", column)
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -229,7 +228,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = docs.mapInArrow(lambda b: anchors(b, window), "hash long, doc long, at int")
     again = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash"))).where("at % 2 = 1 or n > 1")
     listed = stored(again.groupBy("doc").agg(F.collect_set(F.shiftright("at", 1)).alias("at")))
-    some = _of_listed(docs, listed, listed.count(), "at")
+    some = _of_listed(docs, listed, sieve(listed, F.col("doc")), "at").where("at is not null")
     made = some.mapInArrow(lambda b: candidate_windows(b, window), "hash long, hash2 int, doc long, at int, run int")
     place = F.struct("doc", "at")
     least = F.min(place).over(Window.partitionBy("hash", "hash2"))
@@ -256,13 +255,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError(f"windows of fewer than {PERIOD} words have no anchor")
     rows = docs.select(_key(id_col).alias("doc"), text_of(text_col).cast("binary").alias("text"))
     runs = stored(repeated_runs(rows, window))
-    n = runs.count()
     schema = "doc long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    if n <= BROADCAST_ROWS:
-        rest = rows.join(F.broadcast(runs.select("doc")), "doc", "left_anti")
-        out = _of_listed(rows, runs, n, "runs").mapInArrow(_kept(window, with_text), schema).unionByName(rest.mapInArrow(_kept(window, with_text), schema))
-    else:
-        out = rows.join(runs, "doc", "left").select("doc", "text", "runs").mapInArrow(_kept(window, with_text), schema)
+    by = sieve(runs, F.col("doc"))
+    clear = sifted(rows, by, F.col("doc")).where(~F.col("_am_maybe")).select("doc", "text", F.lit(None).cast("array<long>").alias("runs"))
+    out = _of_listed(rows, runs, by, "runs").mapInArrow(_kept(window, with_text), schema).unionByName(clear.mapInArrow(_kept(window, with_text), schema))
     kind = docs.schema[id_col].dataType
     names = ["n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
     return out.select(F.when(F.col("doc") != _NO_ID, F.col("doc")).cast(kind).alias(id_col), *names)

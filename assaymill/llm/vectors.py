@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, q, small_side, stored
+from .common import cut, q, stored
 from .components import components
 
 COSINE = 0.98
@@ -199,7 +199,6 @@ def _links(vectors: DataFrame, cosine: float, sample: int) -> DataFrame:
     sizes = coded.groupBy("label", F.col("own").alias("list")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("bx"))
     asks = asked.groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("by"))
     tiles = stored(sizes.join(asks, ["label", "list"]))
-    tiles = small_side(tiles)
     block = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
     index = coded.withColumnRenamed("own", "list").join(tiles, ["label", "list"]).select("label", "list", block("bx").alias("tx"), F.explode(F.expr("sequence(0, by - 1)")).alias("ty"), "uid", "v", "mult", "codes", "off")
     queries = asked.join(tiles, ["label", "list"]).select(
@@ -246,7 +245,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         .select("h1", "h2", "least", (F.col("mult") - 1 + F.coalesce("weight", F.lit(0))).alias("n"), F.coalesce("component", "uid").alias("part"))
     )
     named = cut(named.join(named.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("h1", "h2", "n", "component_id"))
-    return rows.select("id", "h1", "h2").join(small_side(named), ["h1", "h2"], "left").select(
+    return rows.select("id", "h1", "h2").join(named, ["h1", "h2"], "left").select(
         F.col("id").alias(id_col),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "id").alias("component_id"),
