@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from assaymill.llm import simhash, toxicity
+from assaymill.llm import jaccard, toxicity
 
 from .test_queries import targets, union_find
 
@@ -46,9 +46,11 @@ def test_copies_go(stages):
 
 
 def test_near_copies_go(stages):
+    """All pairs by the similarity of their sets of five-word shingles."""
     rows = sorted(stages[2], key=lambda r: r.doc_id)
-    f = [simhash.fingerprint((r.text or "").encode()) for r in rows]
-    part = union_find(len(f), [(a, b) for a in range(len(f)) for b in range(a) if (f[a] ^ f[b]).bit_count() <= 3])
+    sets = [set(jaccard.shingles((r.text or "").encode()).tolist()) for r in rows]
+    near = lambda x, y: 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y)
+    part = union_find(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if near(sets[a], sets[b])])
     assert sorted(r.doc_id for r in stages[3]) == [rows[k].doc_id for k in sorted(set(part))]
 
 
