@@ -7,11 +7,15 @@ memory of one state."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 
@@ -23,69 +27,79 @@ def chained(df: DataFrame, by: list[str], value: str, tolerance: float, ties: li
     return df.withColumn("_new", F.when(step > tolerance, 1).otherwise(0)).withColumn(name, F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("_new")
 
 
-def fold_sorted(df: DataFrame, by: list[str], order: list[str], step: Callable, output: str, kind: str) -> DataFrame:
-    """``df`` with ``output``: ``step(state, row) -> (state, value)`` applied to
-    the rows of each key in order, ``state`` None at its first row.  ``row`` is
-    a tuple of the columns in ``order``."""
-    schema = df.schema.add(output, kind)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for part in batches:
-            made = []
-            for k, row in zip(part[by].itertuples(index=False, name=None), part[order].itertuples(index=False, name=None)):
-                if k != key:
-                    key, state = k, None
-                state, value = step(state, row)
-                made.append(value)
-            yield part.assign(**{output: made})
-
-    return df.repartition(*map(F.col, by)).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+def _partitioned(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    return df.repartition(*map(F.col, by)).sortWithinPartitions(*by, *order)
 
 
 def by_group(df: DataFrame, by: list[str], order: list[str], values: list[str], make: Callable, schema: str) -> DataFrame:
-    """``make(key, arrays)`` for each group: its ``values`` columns as numpy
-    arrays in order; it returns rows without the key.  Groups are bounded by
-    nature (a page); they are cut from sorted partitions without a frame per
-    group, which for small groups costs a hundredth of a grouped apply."""
-    names = [c.split()[0].strip("`") for c in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-
-        def made(part: pd.DataFrame) -> pd.DataFrame:
-            keys = part[by]
-            edge = [0, *(pd.Series((keys != keys.shift()).any(axis=1).to_numpy()[1:]).pipe(lambda c: c.index[c] + 1)), len(part)] if len(part) else [0]
-            columns = [part[c].to_numpy() for c in values]
-            ids = list(keys.itertuples(index=False, name=None))
-            rows = [(*ids[a], *r) for a, b in zip(edge[:-1], edge[1:]) for r in make(ids[a], [c[a:b] for c in columns])]
-            return pd.DataFrame(rows, columns=names)
+    """``make(key, arrays)`` for each group: its ``values`` columns (numbers) as
+    numpy arrays in order; it returns rows without the key.  Null keys are keys
+    like any other.  Groups are bounded by nature (a page); they are cut from
+    sorted partitions without a frame per group, which for small groups costs a
+    hundredth of a grouped apply.  A group that goes on over several batches is
+    put together once."""
+    out = T.StructType.fromDDL(schema)
+    names = [f.name for f in out.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([pa.field(n, k) for n, k in zip(names, arrow)])
+        open_key, open_parts = None, []
+
+        def rows() -> list[tuple]:
+            columns = [np.concatenate(c) if len(c) > 1 else c[0] for c in zip(*open_parts)]
+            return [(*open_key, *r) for r in make(open_key, columns)] if open_parts else []
 
         for part in batches:
-            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
-            last = (part[by] == part[by].iloc[-1]).all(axis=1).to_numpy() if len(part) else []
-            # the last group may go on in the next batch
-            rest = part[last].reset_index(drop=True) if len(part) else part
-            if len(part) > len(rest):
-                yield made(part[~last].reset_index(drop=True))
-        if rest is not None and len(rest):
-            yield made(rest)
-
-    needed = list(dict.fromkeys([*by, *order, *values]))
-    return df.select(*needed).repartition(*map(F.col, by)).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+            keys = list(zip(*(part.column(k).to_pylist() for k in range(len(by)))))
+            columns = [part.column(len(by) + k).to_numpy(zero_copy_only=False) for k in range(len(values))]
+            edges = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)] if keys else [0]
+            made: list[tuple] = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                if keys[a] != open_key:
+                    made += rows()
+                    open_key, open_parts = keys[a], []
+                open_parts.append([c[a:b] for c in columns])
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in made], schema=kinds)
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows()], schema=kinds)
+
+    arrow = [to_arrow_type(f.dataType) for f in out.fields]
+    needed = [*map(F.col, by), *[F.col(v).alias(f"_v{k}") for k, v in enumerate(values)]]
+    return _partitioned(df, by, order).select(*needed).mapInArrow(run, out)
 
 
 def anchored(df: DataFrame, by: list[str], value: str, tolerance: float, ties: list[str] | None = None, name: str = "cluster") -> DataFrame:
     """Clusters of sorted values: a new one where a value is further than the
-    tolerance from the first of the current cluster; numbered from 1."""
+    tolerance from the first of the current cluster; numbered from 1.  Null
+    keys are keys like any other; null values belong to no cluster.
 
-    def step(state, row):
-        first, n = state if state else (None, 0)
-        if first is None or abs(row[0] - first) > tolerance:
-            first, n = row[0], n + 1
-        return (first, n), n
+    Within a batch each cluster's end is found by bisection, so Python steps
+    once per cluster; between batches only the open cluster is remembered."""
+    schema = df.schema.add(name, "long")
+    at = [df.columns.index(c) for c in by]
+    value_at = df.columns.index(value)
 
-    return fold_sorted(df, by, [value, *(ties or [])], step, name, "long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first, n = None, None, 0
+        for part in batches:
+            keys = list(zip(*(part.column(k).to_pylist() for k in at)))
+            column = part.column(value_at)
+            values = column.to_pylist()
+            known = np.array([v is not None and v == v for v in values], bool)
+            made: list[int | None] = [None] * len(values)
+            starts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)] if keys else [0]
+            for a, b in zip(starts[:-1], starts[1:]):
+                if keys[a] != key:
+                    key, first, n = keys[a], None, 0
+                i = a + int((~known[a:b]).sum())  # nulls sort first
+                while i < b:
+                    if first is None or values[i] - first > tolerance:
+                        first, n = values[i], n + 1
+                    j = bisect_right(values, tolerance, i, b, key=lambda v: v - first)
+                    made[i:j] = [n] * (j - i)
+                    i = j
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.int64())], schema=part.schema.append(pa.field(name, pa.int64())))
+
+    return _partitioned(df, by, [value, *(ties or [])]).mapInArrow(run, schema)
 
 
 def carried_forward(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:

@@ -63,20 +63,35 @@ def long_assays(rows: DataFrame, only: DataFrame | None = None) -> DataFrame:
 def text_lines(pages: DataFrame) -> DataFrame:
     """``file, page, line_no, compound_id, assay, value`` of text pages: the
     first line with an assay word names the assays; lines that start with an id
-    give them values by position.  Analytical and two-column pages are left
-    out."""
+    give them values by position, the later line those it has.  Analytical and
+    two-column pages are left out."""
     fit = pages.where(~T.is_analytical(F.col("text")) & ~T.looks_two_column(F.col("text")))
     lines = F.split("text", "\n")
     first = F.try_element_at(F.filter(F.transform(lines, F.lower), lambda x: x.rlike("ic50|ec50|ki|kd|inhibition|activity")), F.lit(1))
     assays = F.filter(F.array(*[F.lit(a) for a in ("ic50", "ec50", "ki", "kd")]), lambda a: F.coalesce(F.contains(first, a), F.lit(False)))
     assays = F.when(F.size(assays) > 0, assays).otherwise(F.array(F.lit("ic50")))
     out = fit.select("file", "page", assays.alias("assays"), F.posexplode(lines).alias("line_no", "line"))
-    pattern = r"^\s*(\d{1,4}(?:-\d{1,4})?[a-zA-Z]?)\s+(.+)$"
-    out = out.withColumn("compound_id", T.repair_digits(T.found(F.col("line"), pattern, 1))).withColumn("rest", T.found(F.col("line"), pattern, 2))
+    out = out.withColumn("compound_id", T.repair_digits(T.found(F.col("line"), T.COMPOUND_LINE, 1))).withColumn("rest", T.found(F.col("line"), T.COMPOUND_LINE, 2))
     out = out.where("compound_id is not null").where(~F.col("compound_id").rlike(r"^\d[HhDd]$"))
     values = F.regexp_extract_all("rest", F.lit(r"(?iu)([+＋]{1,5}|[-−–—]{1,5}|[\d.]+\s*[nμump]?M|ND|NA|NT)"), F.lit(1))
     zipped = F.filter(F.transform(F.arrays_zip(F.col("assays").alias("assay"), values.alias("value")), lambda z: z), lambda z: z["assay"].isNotNull() & z["value"].isNotNull())
-    return out.select("file", "page", "line_no", "compound_id", F.inline(zipped))
+    found = out.select("file", "page", "line_no", "compound_id", F.inline(zipped))
+    return found.groupBy("file", "page", "compound_id", "assay").agg(F.max("line_no").alias("line_no"), F.max_by("value", "line_no").alias("value"))
+
+
+def single_values(pages: DataFrame) -> DataFrame:
+    """``file, page, compound_id, value`` of pages whose lines give one value
+    per compound: up to five pluses, else a number with its unit, else a mark
+    for inactive.  The later of equal ids wins; other lines are passed over."""
+    lines = pages.select("file", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", T.stripped(F.col("line")))
+    out = lines.select("file", "page", "line_no", T.found(F.col("line"), T.COMPOUND_LINE, 1).alias("compound_id"), F.explode(F.array(T.plus_signs(T.found(F.col("line"), T.COMPOUND_LINE, 2)))).alias("rest"))
+    out = out.where(F.col("compound_id").isNotNull() & ~F.col("compound_id").rlike(r"^\d[HhDd]$"))
+    pluses = F.regexp_count(F.regexp_extract("rest", T.PLUS_RUN, 1), F.lit("[+＋]"))
+    value = F.coalesce(
+        F.when(pluses > 0, F.repeat(F.lit("+"), F.least(pluses, F.lit(5)))), T.stripped(T.found(F.col("rest"), T.VALUE_WITH_UNIT, 1)), F.when(F.col("rest").rlike(T.INACTIVE), F.lit("-"))
+    )
+    found = out.withColumn("value", value).where("value is not null")
+    return found.groupBy("file", "page", "compound_id").agg(F.max_by("value", "line_no").alias("value"))
 
 
 def text_triples(pages: DataFrame) -> DataFrame:

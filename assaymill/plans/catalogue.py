@@ -555,15 +555,51 @@ def q_smiles_answer(spark, d):
 @query(
     "q_text_lines",
     r"""WITH o AS (SELECT o_orderkey AS page, o_custkey % 900 + 1 AS id, CAST(floor(o_totalprice) AS BIGINT) % 500 AS v FROM orders WHERE o_orderkey % 3 <> 2)
-SELECT page, CAST(id AS VARCHAR) AS compound_id, 'ic50' AS assay, concat(v, ' nM') AS value FROM o UNION ALL SELECT page, CAST(id AS VARCHAR), 'ki', '++' FROM o WHERE page % 3 = 0""",
+SELECT page, CAST(id AS VARCHAR) AS compound_id, 'ic50' AS assay, concat(v, ' nM') AS value FROM o UNION ALL SELECT page, CAST(id AS VARCHAR), 'ki', CASE WHEN page % 2 = 0 THEN '+++' ELSE '++' END FROM o WHERE page % 3 = 0""",
 )
 def q_text_lines(spark, d):
-    line = "concat(o_custkey % 900 + 1, ' ', CAST(floor(o_totalprice) AS BIGINT) % 500, ' nM ++')"
-    text = F.expr(rf"CASE o_orderkey % 3 WHEN 0 THEN concat('IC50 and Ki of compounds\n', {line}) WHEN 1 THEN {line} ELSE concat('1H NMR 400 MHz dmso yield\n', {line}) END")
+    """Repeated ids: the later line's values win, one by one."""
+    line = "concat(o_custkey % 900 + 1, ' ', CAST(floor(o_totalprice) AS BIGINT) % 500, CASE WHEN o_orderkey % 6 = 0 THEN ' nM' ELSE ' nM ++' END)"
+    text = F.expr(
+        rf"CASE o_orderkey % 3 WHEN 0 THEN concat('IC50 and Ki of compounds\n', o_custkey % 900 + 1, ' 777 nM +++\n', {line}) WHEN 1 THEN concat(o_custkey % 900 + 1, ' ND NT\n', {line}) ELSE concat('1H NMR 400 MHz dmso yield\n', {line}) END"
+    )
     p = table(spark, d, "orders").select(F.lit("f").alias("file"), F.col("o_orderkey").alias("page"), text.alias("text"))
     return tables.text_lines(p).select("page", "compound_id", "assay", "value")
 
 
+@query(
+    "q_single_values",
+    r"""SELECT o_orderkey AS page, CAST(o_custkey % 900 + 1 AS VARCHAR) AS compound_id,
+ CASE o_orderkey % 6 WHEN 0 THEN '+++' WHEN 1 THEN concat(o_custkey % 50, '.5 uM') WHEN 2 THEN '-' WHEN 3 THEN '+++++' WHEN 4 THEN '++' END AS value
+FROM orders WHERE o_orderkey % 6 <> 5""",
+)
+def q_single_values(spark, d):
+    """Each kind of line, misread pluses, and an earlier line that loses."""
+    value = "CASE o_orderkey % 6 WHEN 0 THEN '+4+ 9 nM' WHEN 1 THEN concat(o_custkey % 50, '.5 uM low') WHEN 2 THEN '--' WHEN 3 THEN '＋＋＋＋＋＋' WHEN 4 THEN 'H++' ELSE 'not tested' END"
+    text = F.expr(rf"concat('header\n', CASE WHEN o_orderkey % 6 < 5 THEN concat(o_custkey % 900 + 1, ' 777 nM\n') ELSE '1H 7 nM\n' END, o_custkey % 900 + 1, ' ', {value}, '\nno id here')")
+    p = table(spark, d, "orders").select(F.lit("f").alias("file"), F.col("o_orderkey").alias("page"), text.alias("text"))
+    return tables.single_values(p).select("page", "compound_id", "value")
+
+
+@query(
+    "q_heading_context",
+    """SELECT o_orderkey AS page, o_orderkey % 8 IN (0, 2, 3, 5, 7) AS opens, o_orderkey % 8 IN (4, 5) AS claims FROM orders""",
+)
+def q_heading_context(spark, d):
+    """Headings in capitals, near the top and after a short line open a section;
+    the same words further down or before a reference don't, and a refused
+    first line doesn't hide a later one."""
+    long = "repeat('some words of running text follow here\n', 9)"
+    text = F.expr(
+        rf"""CASE o_orderkey % 8
+ WHEN 0 THEN concat({long}, 'EXAMPLES\nStep 1 synthesis of') WHEN 1 THEN concat({long}, 'as in\nExample 1: a salt') WHEN 2 THEN concat('Example 1: a salt\n', {long}) WHEN 3 THEN concat({long}, '12\n\nExample 1. a salt')
+ WHEN 4 THEN concat({long}, 'EXAMPLES\nThe following examples are meant to be illustrative only\n', '1. A compound of') WHEN 5 THEN concat({long}, 'EXAMPLES\nThe following examples are illustrative', repeat(' and so on', 60), '\nEXPERIMENTAL\nan acid\nthen what is claimed is:')
+ WHEN 6 THEN concat({long}, 'see above\n1. A method of use') ELSE concat({long}, '\n  Preparation of Example 1\n') END"""
+    )
+    text = F.when(F.col("o_orderkey") % 8 == 4, F.regexp_replace(text, "only\n", "only\n--\n")).when(F.col("o_orderkey") % 8 == 7, F.regexp_replace(text, "here\n\n", "here\n7.\n")).otherwise(text)
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("page"), T.near_section(text).alias("opens"), T.near_section(text, claims=True).alias("claims"))
+
+
 @query(
     "q_low_quality",
     """WITH p AS (SELECT user_id, event_type, count(CASE WHEN value >= 50 THEN 1 END) AS n FROM events GROUP BY 1, 2)
