@@ -31,13 +31,13 @@ WEIGHTS = Path(__file__).with_name("html_weights.npz")
 
 #: Elements whose content is no markup, up to their end tag or the page's end.
 #: (Empty titles and styles are those of drawings.)
-_RAW = "script|style|title|textarea"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])(?!(?<=title)\s*/>|(?<=style)\s*/>)[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>",
-    re.S | re.I,
-)
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "title", "textarea")}
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_AFTER_NAME = frozenset(" \t\n\r\x0b\x0c/>")
+_EMPTY = re.compile(r"\s*/>")
+_SPECIAL = re.compile(r"[>\"']")
+#: Ancestors whose features describe a block: the nearest ones.
+NEAREST = 64
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
@@ -60,80 +60,145 @@ class Block:
 
 
 @lru_cache(maxsize=1 << 14)
-def _features(tag: str, attrs: str) -> tuple[int, ...]:
-    """Hashed features of one element: its tag, and words of class, id, role."""
+def _few_features(tag: str, attrs: str) -> tuple[int, ...]:
     words = {tag}
     for kind, *values in _NAMES.findall(attrs):
         for word in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower()):
             words.add("." + word)
-    return tuple(sorted(zlib.crc32(w.encode()) % PATHS for w in words))
+    return tuple(sorted({zlib.crc32(w.encode()) % PATHS for w in words}))
+
+
+def _features(tag: str, attrs: str) -> tuple[int, ...]:
+    """Hashed features of one element: its tag, and words of class, id, role.
+    Short ones are remembered."""
+    return (_few_features if len(attrs) < 512 else _few_features.__wrapped__)(tag, attrs)
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, tag in lower case, whether it closes, attributes) of all
+    markup in order; comments, declarations and raw elements have no tag.
+
+    One pass: whatever is looked for is looked for once.  A ``>`` in quotes
+    doesn't end a tag unless its quotes never close; the places from which that
+    was found out are remembered, so no stretch is tried twice in one state."""
+    n, at = len(page), 0
+    failed: set[int] = set()
+
+    def tag_end(start: int) -> int:
+        seen, pos = [], start
+        while m := _SPECIAL.search(page, pos):
+            p = m.start()
+            if page[p] == ">":
+                return p
+            if p in failed:
+                break
+            seen.append(p)
+            pos = page.find(page[p], p + 1) + 1
+            if not pos:
+                break
+        failed.update(seen)
+        return page.find(">", start)
+
+    last = page.rfind(">")
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+            yield at, end, "", False, ""
+        elif at > last:  # nothing ends any more but comments
+            at = page.find("<!--", at)
+            if at < 0:
+                return
+            continue
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at) + 1
+            yield at, end, "", False, ""
+        else:
+            closes = page.startswith("/", at + 1)
+            m = _NAME.match(page, at + 1 + closes)
+            if not m:
+                at += 1
+                continue
+            tag = m[0].lower()
+            raw = None if closes or page[m.end() : m.end() + 1] not in _AFTER_NAME else _RAW.get(tag)
+            if raw is not None and not (tag in ("title", "style") and _EMPTY.match(page, m.end())):
+                close = raw.search(page, page.find(">", m.end()) + 1)
+                end = page.find(">", close.end()) + 1 if close else n
+                end = end or n
+                yield at, end, "", False, ""
+            else:
+                end = tag_end(m.end()) + 1
+                yield at, end, tag, closes, page[m.end() : end - 1]
+        at = end
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order.  Never fails: what isn't markup is text."""
+    """Leaf blocks in page order.  Never fails: what isn't markup is text.
+    Takes time in proportion to the page, however it is nested."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[int, ...]]] = []
+    # where the open elements of each tag stand in the stack; those that are blocks, and those that bound implied end tags
+    where: dict[str, list[int]] = {}
+    owners: list[str] = []
+    scopes: list[int] = []
     parts: list[str] = []
-    linked, links, drawn = 0, 0, 0
+    linked = 0
+    open_at = lambda tag: where[tag][-1] if where.get(tag) else -1
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                own = next((t for t, _ in reversed(stack) if t in _BLOCK), "")
-                path = {f for _, features in stack for f in features}
-                path.add(zlib.crc32(b"own " + own.encode()) % PATHS)
+                path = {f for _, features in stack[-NEAREST:] for f in features}
+                path.add(zlib.crc32(b"own " + (owners[-1] if owners else "").encode()) % PATHS)
                 out.append(Block(text, tuple(sorted(path)), min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
+    def push(tag: str, attrs: str) -> None:
+        where.setdefault(tag, []).append(len(stack))
+        if tag in _BLOCK:
+            owners.append(tag)
+        if tag in _SCOPE:
+            scopes.append(len(stack))
+        stack.append((tag, _features(tag, attrs)))
+
     def pop(to: int) -> None:
-        nonlocal links, drawn
         for tag, _ in stack[to:]:
-            links -= tag == "a"
-            drawn -= tag == "svg"
+            where[tag].pop()
+            if tag in _BLOCK:
+                owners.pop()
+            if tag in _SCOPE:
+                scopes.pop()
         del stack[to:]
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not drawn:
-            piece = page[at : m.start()]
-            parts.append(piece)
-            linked += len(piece) if links else 0
-        at = m.end()
-        tag = m["tag"] or m["tag2"]
+    for start, end, tag, closes, attrs in tokens(page):
+        if start > at and not where.get("svg"):
+            parts.append(page[at:start])
+            linked += start - at if where.get("a") else 0
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
-        if m["end"] or m["end2"]:
+        if closes:
             if tag in _BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
+            if where.get(tag):
+                pop(open_at(tag))
             continue
-        if drawn and tag in _BREAKOUT:
-            pop(next(k for k, (open_tag, _) in enumerate(stack) if open_tag == "svg"))
+        if where.get("svg") and tag in _BREAKOUT:
+            pop(where["svg"][0])
         if tag == "br":
             parts.append(" ")
         elif tag in _BLOCK:
             flush()
-            closes = _CLOSES.get(tag, ())
-            for k in range(len(stack) - 1, -1, -1):
-                open_tag = stack[k][0]
-                if open_tag == "p" or open_tag in closes:
-                    pop(k)
-                    break
-                if open_tag in _SCOPE:
-                    break
-        attrs = m["attrs"] or m["attrs2"] or ""
+            ends = max(map(open_at, ("p", *_CLOSES.get(tag, ()))))
+            if ends >= 0 and ends >= (scopes[-1] if scopes else -1):
+                pop(ends)
         if tag not in _VOID and not attrs.endswith("/"):
-            stack.append((tag, _features(tag, attrs)))
-            links += tag == "a"
-            drawn += tag == "svg"
-    if at < len(page) and not drawn:
+            push(tag, attrs)
+    if at < len(page) and not where.get("svg"):
         parts.append(page[at:])
     flush()
     return out
