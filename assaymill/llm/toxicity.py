@@ -15,8 +15,8 @@ all.  A document scores as its highest-scoring word, through a logistic curve.
 Since the kernel's feature space is explicit, the fitted expansion over the
 landmarks collapses into one weight per subsequence (a table of 4 MB that is
 broadcast), and scoring a word costs its own subsequences only.  Fitting runs
-on the driver over at most ``MAX_TOXIC + MAX_CLEAN`` labelled documents of at
-most ``MAX_BYTES``; scoring reads every whole text."""
+on the driver over the distinct words of at most ``MAX_TOXIC + MAX_CLEAN``
+labelled documents, whole ones; scoring reads every whole text."""
 
 from __future__ import annotations
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import carried, q, text_of
 
 #: Bounds of the labelled sample.
-MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1_500, 4_000, 1 << 15
+MAX_TOXIC, MAX_CLEAN = 1_500, 4_000
 GAP, DECAY = 3, 0.6
 LANDMARKS = 224
 THRESHOLD = 0.3
@@ -67,12 +67,14 @@ def _tables() -> tuple[bytes, bytes, np.ndarray]:
 
 
 _FOLD, _DROP, _SYMBOL = _tables()
+#: Characters without width, which would stand between the letters of a word.
+_UNSEEN = re.compile(rb"\xc2\xad|\xe2\x80[\x8b-\x8f]|\xe2\x81\xa0|\xef\xbb\xbf")
 _SPELLED = re.compile(rb"(?<!\S)(?:\S\s{1,3}){2,40}\S(?!\S)")
 
 
 def words_of(text: bytes) -> list[bytes]:
     """Folded words of a text; letters spelled out one by one make a word too."""
-    plain = text.translate(_FOLD, _DROP)
+    plain = (text if text.isascii() else _UNSEEN.sub(b"", text)).translate(_FOLD, _DROP)
     found = plain.split()
     spelled = [b"".join(x.split()) for x in _SPELLED.findall(plain)]
     return found + spelled if spelled else found
@@ -239,10 +241,15 @@ def _varied(word: bytes, rng: np.random.Generator) -> bytes:
 
 
 def fit(texts: list[bytes], toxic: list[bool], seed: int = 5, landmarks: int = LANDMARKS, rounds: int = 3) -> Model:
-    """The model of labelled texts.  With no toxic or no clean text, or when
-    nothing tells them apart, every text scores the share of toxic ones."""
+    """The model of labelled texts (see :func:`fit_words`)."""
+    return fit_words([set(words_of(t)) for t in texts], toxic, seed, landmarks, rounds)
+
+
+def fit_words(docs: list[set[bytes]], toxic: list[bool], seed: int = 5, landmarks: int = LANDMARKS, rounds: int = 3) -> Model:
+    """The model of labelled texts, given their distinct words.  With no toxic
+    or no clean text, or when nothing tells them apart, every text scores the
+    share of toxic ones."""
     y = np.array(toxic, bool)
-    docs = [set(words_of(t)) for t in texts]
     once = {_likeness(words): k for k, words in enumerate(docs)}
     once = sorted(once.values())  # copies of one text would make all its words telling
     docs, y = [docs[k] for k in once], y[once]
@@ -340,14 +347,23 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits on a bounded sample of labelled rows that aren't held out: of each
-    label those with the smallest hashes of their ids.  Rows without a label,
-    an id or a document are passed over."""
+    label those with the smallest hashes of their ids.  Only their distinct
+    words reach the driver.  Rows without a label, an id or a document are
+    passed over; empty tables give the model of no texts."""
     known = labels.where(q(id_col).isNotNull() & q(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(q(id_col).alias("_am_id")).agg(F.max(q(label_col)).alias("_am_label"))
     order = [F.xxhash64("_am_id"), F.col("_am_id")]
     sample = known.where("_am_label = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(known.where("_am_label = 0").orderBy(*order).limit(MAX_CLEAN))
-    texts = docs.select(q(id_col).alias("_am_id"), text_of(text_col).cast("binary").alias("_am_text")).where(F.octet_length("_am_text") <= MAX_BYTES)
-    rows = texts.join(F.broadcast(sample), "_am_id").groupBy("_am_id").agg(F.min("_am_text").alias("t"), F.max("_am_label").alias("y")).orderBy("_am_id").collect()
-    return fit([bytes(r.t) for r in rows], [r.y == 1 for r in rows])
+    texts = docs.select(q(id_col).alias("_am_id"), text_of(text_col).cast("binary").alias("_am_text"))
+    rows = texts.join(F.broadcast(sample), "_am_id").groupBy("_am_id").agg(F.min("_am_text").alias("t"), F.max("_am_label").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [b" ".join(sorted(set(words_of(t.as_py())))) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), batch.column(2)], names=["id", "words", "y"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    found = rows.select("_am_id", "t", "y").mapInArrow(run, f"id {kinds['_am_id']}, words binary, y {kinds['y']}").orderBy("id").collect()
+    return fit_words([set(bytes(r.words).split(b" ")) - {b""} for r in found], [r.y == 1 for r in found])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
