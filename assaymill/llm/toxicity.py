@@ -24,7 +24,7 @@ import itertools
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -164,15 +164,22 @@ def kernel(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights (bias last) minimising the squared hinge, by Newton steps."""
-    x = np.c_[x, np.ones(len(x))].astype(np.float64)
+    """Weights minimising the squared hinge, by Newton steps; the last column of
+    ``x`` is ones, its weight the bias.  Active rows are summed block by block,
+    so that no copy of ``x`` is made."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-3
     for _ in range(30):
-        active = y * (x @ w) < 1
-        a, c = x[active], cost[active]
-        new = np.linalg.solve((a * c[:, None]).T @ a + np.diag(penalty), (a * c[:, None]).T @ y[active])
+        active = np.flatnonzero(y * (x @ w) < 1)
+        square, side = np.diag(penalty), np.zeros(x.shape[1])
+        for k in range(0, len(active), 1024):
+            some = active[k : k + 1024]
+            a = x[some]
+            weighted = a.T * cost[some]
+            square += weighted @ a
+            side += weighted @ y[some]
+        new = np.linalg.solve(square, side)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -197,13 +204,13 @@ class Model:
 _NOTHING = b""
 
 
-def _likeness(words: set[bytes]) -> tuple:
+def _likeness(words: Collection[bytes]) -> tuple:
     """Equal for most near copies: the smallest hashes of the longer words."""
     hashes = sorted(zlib.crc32(w) for w in words if len(w) > 7)
     return tuple(hashes[:3]) if len(hashes) >= 3 else (*hashes, *sorted(words)[:50])
 
 
-def _telling(docs: list[set[bytes]], toxic: np.ndarray) -> Counter:
+def _telling(docs: list[Collection[bytes]], toxic: np.ndarray) -> Counter:
     """Words that tell toxic documents, and of how many: for each document the
     word whose own or whose stem's count over toxic and clean documents tells
     most, and every word whose own count tells by itself."""
@@ -245,7 +252,7 @@ def fit(texts: list[bytes], toxic: list[bool], seed: int = 5, landmarks: int = L
     return fit_words([set(words_of(t)) for t in texts], toxic, seed, landmarks, rounds)
 
 
-def fit_words(docs: list[set[bytes]], toxic: list[bool], seed: int = 5, landmarks: int = LANDMARKS, rounds: int = 3) -> Model:
+def fit_words(docs: list[Collection[bytes]], toxic: list[bool], seed: int = 5, landmarks: int = LANDMARKS, rounds: int = 3) -> Model:
     """The model of labelled texts, given their distinct words.  With no toxic
     or no clean text, or when nothing tells them apart, every text scores the
     share of toxic ones."""
@@ -286,7 +293,11 @@ def fit_words(docs: list[set[bytes]], toxic: list[bool], seed: int = 5, landmark
         examples = [*positive, *varied, *negative]
         label = np.r_[np.ones(len(positive) + len(varied)), -np.ones(len(negative))]
         weight = np.r_[[4.0 + min(60, chosen[w]) for w in positive], [1.0 + min(8, chosen[w] / 4) for w in positive for _ in range(3)], [2.0 + min(60, clean[w]) ** 0.5 for w in negative]]
-        w = _svm(kernel(examples, marks) @ root, label, weight, ridge=0.2)
+        x = np.ones((len(examples), len(marks) + 1))
+        for k in range(0, len(examples), 4096):
+            x[k : k + 4096, :-1] = kernel(examples[k : k + 4096], marks) @ root
+        w = _svm(x, label, weight, ridge=0.2)
+        del x
         alpha = root @ w[:-1]
         table = np.zeros(_SIZE, np.float64)
         for where, symbols in by_length(marks):
@@ -363,7 +374,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     found = rows.select("_am_id", "t", "y").mapInArrow(run, f"id {kinds['_am_id']}, words binary, y {kinds['y']}").orderBy("id").collect()
-    return fit_words([set(bytes(r.words).split(b" ")) - {b""} for r in found], [r.y == 1 for r in found])
+    # one object for each distinct word, and tuples, which take a tenth of the room of sets
+    one: dict[bytes, bytes] = {}
+    words = [tuple(one.setdefault(w, w) for w in bytes(r.words).split(b" ") if w) for r in found]
+    return fit_words(words, [r.y == 1 for r in found])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
