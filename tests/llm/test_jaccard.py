@@ -41,6 +41,12 @@ def test_similar_sets_share_a_prefix(a, b, often):
         assert set.intersection(*(set(jaccard.prefix(x, least, order, counts).tolist()) for x in of))
 
 
+@given(st.sets(st.integers(0, 2**64 - 1)), st.sets(st.integers(0, 2**64 - 1)), st.sets(st.integers(0, 2**64 - 1)))
+def test_marks_differ_in_no_more_bits_than_sets_in_hashes(a, b, both):
+    x, y = (jaccard.marks(np.array(sorted(s | both), np.uint64)) for s in (a, b))
+    assert (x ^ y).bit_count() <= len((a | both) ^ (b | both))
+
+
 @pytest.mark.parametrize("pairwise", [2, 32])
 def test_groups_brute_force(spark, pairwise):
     """Chains, a large cluster about the bound, common lines, odd texts."""
