@@ -13,14 +13,15 @@ def best(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def first_connected(candidates: DataFrame, by: list[str], smiles: str = "smiles", at: str = "attempt") -> DataFrame:
+def first_connected(candidates: DataFrame, by: list[str], smiles: str = "smiles", at: str = "attempt", whole: bool = False) -> DataFrame:
     """The first candidate in one piece, else the first of all, cut to its
-    largest fragment; null candidates don't count."""
+    largest fragment where that dominates (``whole`` leaves it as it is); blank
+    and null candidates don't count."""
     from ..functions.text import largest_fragment
 
     c = candidates.where(F.coalesce(F.col(smiles), F.lit("")) != "")
     broken = F.contains(F.col(smiles), F.lit("."))
-    return c.groupBy(*by).agg(F.min_by(F.when(broken, largest_fragment(F.col(smiles))).otherwise(F.col(smiles)), F.struct(broken, at)).alias(smiles))
+    return c.groupBy(*by).agg(F.min_by(F.col(smiles) if whole else F.when(broken, largest_fragment(F.col(smiles))).otherwise(F.col(smiles)), F.struct(broken, at)).alias(smiles))
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

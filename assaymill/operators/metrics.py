@@ -107,3 +107,13 @@ def evaluate(truth: DataFrame, predictions: DataFrame) -> DataFrame:
 def extra_ids(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """Predicted ids the truth doesn't have."""
     return predictions.select("file", T.truth_id(F.col("compound_id")).alias("id")).where("id is not null").distinct().join(truth.select("file", T.truth_id(F.col("compound_id")).alias("id")), ["file", "id"], "left_anti")
+
+
+def approach_summary(results: DataFrame, approaches: list[str] | None = None) -> DataFrame:
+    """``file, page, approach, n, mean_w, mean_h, valid``: crops of each
+    approach on a page, their mean sizes, and how many gave a structure (neither
+    blank nor an error text).  ``approaches`` names those to list; null keys
+    are groups."""
+    some = results if approaches is None else results.where(F.col("approach").isin(approaches))
+    good = (F.coalesce(F.col("smiles"), F.lit("")) != "") & ~F.startswith(F.col("smiles"), F.lit("ERROR"))
+    return some.groupBy("file", "page", "approach").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("crop_w"), 6).alias("mean_w"), F.round(F.avg("crop_h"), 6).alias("mean_h"), F.count_if(good).alias("valid"))

@@ -709,3 +709,64 @@ def q_top_heading(spark, d):
     o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("page")).agg(F.min("o_orderkey").alias("m"))
     w = o.select(F.lit("f").alias("file"), "page", F.inline(F.array(*[F.struct(F.lit(s).alias("seq"), t.alias("text"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(10).alias("h")) for s, t, x, y in ((0, (F.col("m") % 1000 + 1).cast("string"), 80, 101), (1, F.lit("Example"), 10, 100), (2, F.lit("Example 9999"), 10, 700), (3, F.lit("title"), 5, 50))])), F.lit(800).alias("page_h"))
     return pages.top_heading(w).select("page", "heading")
+
+
+@query(
+    "q_approach_summary",
+    """SELECT l_linestatus AS file, l_suppkey % 10 AS page, l_returnflag AS approach, count(*) AS n, round(avg(l_partkey % 300), 6) AS mean_w, round(avg(l_suppkey % 70), 6) AS mean_h, count(*) FILTER (WHERE l_linenumber % 4 = 3) AS valid
+FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2, 3""",
+)
+def q_approach_summary(spark, d):
+    smiles = F.expr("CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN 'ERROR: no model' WHEN 2 THEN '' ELSE 'CCO' END")
+    r = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("file"), (F.col("l_suppkey") % 10).alias("page"), F.col("l_returnflag").alias("approach"), (F.col("l_partkey") % 300).alias("crop_w"), (F.col("l_suppkey") % 70).alias("crop_h"), smiles.alias("smiles"))
+    return metrics.approach_summary(r, ["A", "R"])
+
+
+@query(
+    "q_sampled_pages",
+    """SELECT DISTINCT o_orderkey, CAST(greatest(1, least(t, ceil(t * f))) AS INTEGER) AS page FROM (SELECT o_orderkey, CAST(1 + o_orderkey % 40 AS DOUBLE) AS t FROM orders),
+ (SELECT CAST(unnest([0.0, 0.1, 0.25, 0.5, 0.9, 1.0]) AS DOUBLE) AS f)""",
+)
+def q_sampled_pages(spark, d):
+    total = F.expr("CAST(1 + o_orderkey % 40 AS INT)")
+    return table(spark, d, "orders").select("o_orderkey", F.explode(pages.sampled_pages(total, [0.0, 0.1, 0.25, 0.5, 0.9, 1.0])).alias("page"))
+
+
+HITS = "SELECT DISTINCT l_suppkey AS file, l_partkey % 100 + 1 AS page, l_linenumber % 3 = 0 AS hit, 100 AS total_pages FROM lineitem"
+
+
+@query(
+    "q_backward_scan",
+    f"""WITH h AS (SELECT * FROM ({HITS}) WHERE hit), s AS (SELECT file, max(page) AS last_hit FROM h WHERE page > 80 OR (page > 75 AND (100 - page) % 3 = 0) GROUP BY 1)
+SELECT h.file, min(page) AS claims_start FROM h JOIN s ON h.file = s.file WHERE abs(page - last_hit) <= 4 GROUP BY 1""",
+)
+def q_backward_scan(spark, d):
+    h = table(spark, d, "lineitem").selectExpr("l_suppkey AS file", "l_partkey % 100 + 1 AS page", "l_linenumber % 3 = 0 AS hit", "100 AS total_pages").distinct()
+    return pages.backward_scan(h)
+
+
+@query(
+    "q_refined",
+    f"""WITH h AS (SELECT * FROM ({HITS}) WHERE hit) SELECT file, min(page) AS earliest, max(page) AS latest FROM h WHERE abs(page - (file % 80 + 10)) <= 4 GROUP BY 1""",
+)
+def q_refined(spark, d):
+    l = table(spark, d, "lineitem")  # noqa: E741
+    h = l.selectExpr("l_suppkey AS file", "l_partkey % 100 + 1 AS page", "l_linenumber % 3 = 0 AS hit")
+    near = l.selectExpr("l_suppkey AS file", "l_suppkey % 80 + 10 AS page").distinct()
+    first, last = (pages.refined(h, near, earliest=e).withColumnRenamed("page", n) for e, n in ((True, "earliest"), (False, "latest")))
+    return first.join(last, "file")
+
+
+@query(
+    "q_first_connected",
+    """SELECT l_orderkey, arg_min(s, b * 1000000000000 + l_linenumber * 100000000 + l_partkey) AS smiles, arg_min(w, b * 1000000000000 + l_linenumber * 100000000 + l_partkey) AS as_found
+FROM (SELECT l_orderkey, CASE l_partkey % 4 WHEN 0 THEN 'CC.O' WHEN 1 THEN 'CCO' ELSE 'C.CCC' END AS w, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(l_partkey AS BIGINT) AS l_partkey,
+ CASE l_partkey % 4 WHEN 0 THEN 'CC.O' WHEN 1 THEN 'CCO' ELSE 'CCC' END AS s, CASE l_partkey % 4 WHEN 1 THEN 0 ELSE 1 END AS b FROM lineitem WHERE l_partkey % 4 <> 2) GROUP BY 1""",
+)
+def q_first_connected(spark, d):
+    """Candidates in one piece win over earlier broken ones, which are cut where
+    one fragment dominates, or kept as found."""
+    smiles = F.expr("CASE l_partkey % 4 WHEN 0 THEN 'CC.O' WHEN 1 THEN 'CCO' WHEN 3 THEN 'C.CCC' END")
+    attempt = F.expr("CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey")
+    c = table(spark, d, "lineitem").select("l_orderkey", smiles.alias("smiles"), attempt.alias("attempt"))
+    return choose.first_connected(c, ["l_orderkey"]).join(choose.first_connected(c, ["l_orderkey"], whole=True).withColumnRenamed("smiles", "as_found"), "l_orderkey")
