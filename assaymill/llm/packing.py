@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import q, stored, text_of
+from .common import q, stored, text_of, tidy
 
 LENGTH = 2048
 EOS = 0
@@ -30,10 +30,10 @@ FAN_IN = 8
 #: Bins at least so full are final at once.
 NEARLY_FULL = 0.99
 #: Bytes that one of the two generations of remembered pieces may take, about.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 48 << 20
 _ENTRY_BYTES = 150
 #: Bytes of text that numpy cuts at once.
-SLAB = 4 << 20
+SLAB = 2 << 20
 #: ASCII marks that the tokenizer's pattern takes as one piece after letters.
 #: An apostrophe may start a piece of its own kind, and so isn't among them.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -117,11 +117,9 @@ class PieceTokens:
                 known[other[k]] = self.whole(text[k])
         self.held += sum(map(len, new)) + _ENTRY_BYTES * len(new)
 
-    def ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts ``data[bounds[k]:bounds[k + 1]]`` (bytes), and
-        where each text's ids end."""
-        if self.held > CACHE_BYTES:
-            self.older, self.known, self.held = self.known, {}, 0
+    def _cut(self, data: np.ndarray, bounds: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray] | None:
+        """The pieces of the texts, reduced to distinct ones, and how many there
+        are before the end of each text; nothing if no text has a word."""
         kind = _KIND[data]
         ink = kind > 0
         first = np.zeros(len(data) + 1, bool)
@@ -129,12 +127,11 @@ class PieceTokens:
         first = first[:-1]
         # words, and which of them have bytes beyond ASCII
         word = ink & (first | np.r_[True, ~ink[:-1]])
-        starts = np.flatnonzero(word)
+        starts = np.flatnonzero(word).astype(np.int32)
         if not len(starts):
-            return np.empty(0, "<u4"), np.zeros(len(bounds) - 1, np.int64)
+            return None
         foreign = np.logical_or.reduceat(data >= 128, starts)
-        ends = np.r_[starts[1:], len(data)]
-        plain = np.repeat(~foreign, ends - starts)
+        plain = np.repeat(~foreign, np.diff(starts, append=np.int32(len(data))))
         lead = len(data) - len(plain)
         plain = np.r_[np.zeros(lead, bool), plain] if lead else plain
         change = (kind != np.r_[kind[:1], kind[:-1]]) | (kind == 2)
@@ -153,6 +150,17 @@ class PieceTokens:
         flat = _LOWER[data[ink]]
         where = np.flatnonzero(cut[ink]).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(where), [None, pa.py_buffer(np.r_[where, np.int32(len(flat))]), pa.py_buffer(flat)]).dictionary_encode()
+        return pieces, np.r_[np.int32(0), np.cumsum(cut, dtype=np.int32)][bounds[1:]]
+
+    def ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts ``data[bounds[k]:bounds[k + 1]]`` (bytes), and
+        where each text's ids end."""
+        if self.held > CACHE_BYTES:
+            self.older, self.known, self.held = self.known, {}, 0
+        found = self._cut(data, bounds)  # its arrays, as long as the text, are gone when the ids are gathered
+        if found is None:
+            return np.empty(0, "<u4"), np.zeros(len(bounds) - 1, np.int64)
+        pieces, before = found
         names = _bytes_of(pieces.dictionary)
         known = self.known
         new = [w for w in names if w not in known]
@@ -165,10 +173,10 @@ class PieceTokens:
         code = pieces.indices.to_numpy()
         n = size[code]
         upto = np.cumsum(n)
-        ids = pool[np.repeat(base[code] - (upto - n), n) + np.arange(int(upto[-1]))]
-        # pieces before the end of each text, then their ids
-        before = np.r_[0, np.cumsum(cut)][bounds[1:]]
-        return ids, np.r_[0, upto][before]
+        at = np.repeat(base[code] - (upto - n), n)
+        at += np.arange(len(at))
+        # ids before the end of each text
+        return pool[at], np.r_[0, upto][before]
 
 
 def _bytes_of(column: pa.Array) -> list[bytes]:
@@ -269,7 +277,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(q(id_col).alias("doc"), text_of(text_col).cast("binary").alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(tidy(run), f"doc {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[int]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, q, text_of
+from .common import carried, q, text_of, tidy
 
 #: Bounds of the labelled sample.
 MAX_TOXIC, MAX_CLEAN = 1_500, 4_000
@@ -373,7 +373,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), batch.column(2)], names=["id", "words", "y"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    found = rows.select("_am_id", "t", "y").mapInArrow(run, f"id {kinds['_am_id']}, words binary, y {kinds['y']}").orderBy("id").collect()
+    found = rows.select("_am_id", "t", "y").mapInArrow(tidy(run), f"id {kinds['_am_id']}, words binary, y {kinds['y']}").orderBy("id").collect()
     # one object for each distinct word, and tuples, which take a tenth of the room of sets
     one: dict[bytes, bytes] = {}
     words = [tuple(one.setdefault(w, w) for w in bytes(r.words).split(b" ") if w) for r in found]
@@ -400,4 +400,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(*map(q, names), text_of(text_col).cast("binary").alias("_am_text"))
     schema = rows.drop("_am_text").schema.add("score", "double")
-    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return rows.mapInArrow(tidy(run), schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -11,7 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from assaymill.llm import chat, components, exact_dedup, html_extract, html_train, mixing, packing, shards, simhash, substrings, toxicity, vectors
+from assaymill.llm import chat, common, components, exact_dedup, html_extract, html_train, mixing, packing, shards, simhash, substrings, toxicity, vectors
 from assaymill.llm.common import cut, release, shared_dir, stored
 
 from .test_queries import removed, union_find
@@ -202,6 +202,35 @@ def test_piece_tokens_are_the_texts_tokens(slab, monkeypatch, texts):
     assert got == [known.whole(t) for t in texts]
 
 
+def test_cutting_takes_little_memory_beside_the_text():
+    """Ids of 12 MB of known words, within 80 MB of arrays."""
+    import tracemalloc
+
+    r = random.Random(2)
+    words = [f"w{k}" for k in range(3000)]
+    column = pa.array([" ".join(r.choices(words, k=1000)).encode() for _ in range(2500)], pa.binary())
+    known = packing.PieceTokens(packing.default_tokenizer())
+    known.ids(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words))]))
+    tracemalloc.start()
+    try:
+        n = sum(len(ids) for at, m in packing._slabs(column) for ids in packing.token_ids(column.slice(at, m), known))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n > 2_500_000 and peak < 80 << 20
+
+
+def test_tasks_give_freed_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    run = common.tidy(lambda batches: (b + 1 for b in batches))
+    assert list(run(iter([1, 2]))) == [2, 3] and len(calls) == 1
+    part = run(iter([1, 2]))
+    assert next(part) == 2 and len(calls) == 1
+    part.close()
+    assert len(calls) == 2
+
+
 def test_forgotten_pieces_are_learnt_again(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_BYTES", 1000)
     known = packing.PieceTokens(packing.default_tokenizer())
