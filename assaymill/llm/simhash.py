@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, one_of_each, q, row_tie, stored, text_of
+from .common import cut, one_of_each, q, row_tie, stored, text_of, tidy
 from .components import components
 
 SEED = 42
@@ -39,20 +39,27 @@ RADIUS = 3
 PASS_BITS = 3
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """64-bit SimHash of a text's word shingles, A-Z lower-cased, repeats
-    counted; fewer words than a shingle count as one, no word gives 0."""
+def hashes(text: bytes, shingle: int = 3) -> np.ndarray:
+    """XXH64 of a text's word shingles in order, A-Z lower-cased, repeats
+    included; fewer words than a shingle count as one, as does no word."""
     words = text.lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
     parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, max(1, len(words) - shingle + 1))
+
+
+def folded(of: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for at in range(0, len(of), 1 << 16):
+        bits = np.unpackbits(of[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(of), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """64-bit SimHash of a text's word shingles, A-Z lower-cased, repeats
+    counted; fewer words than a shingle count as one, no word gives 0."""
+    return folded(hashes(text, shingle)) if text.strip() else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -66,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=["_am_id", "_am_tie", "_am_fp"])
 
     rows = docs.select(q(id_col).alias("_am_id"), row_tie(text_col).alias("_am_tie"), text_of(text_col).cast("binary").alias("_am_text"))
-    return rows.mapInArrow(run, f"_am_id {rows.schema['_am_id'].dataType.simpleString()}, _am_tie long, _am_fp long")
+    return rows.mapInArrow(tidy(run), f"_am_id {rows.schema['_am_id'].dataType.simpleString()}, _am_tie long, _am_fp long")
 
 
 def _signed(mask: int) -> int:
@@ -131,9 +138,10 @@ def kept_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     columns: the smallest id, null last; of rows that repeat it one.
 
     Groups are those of :func:`simhash_groups`, or, given a ``similarity``, of
-    texts whose sets of ``shingle`` words have a Jaccard index of that or more.
-    No ball of fingerprints reaches a bound like 0.8 (such pairs differ in some
-    10 of 64 bits), so these are found exactly (:mod:`.jaccard`).
+    texts whose sets of ``shingle`` words have a Jaccard index of that or more:
+    the links of the balls are held against whole sets, and what no ball of
+    fingerprints reaches at a bound like 0.8 (such pairs differ in some 10 of 64
+    bits) is found by common shingles (:mod:`.jaccard`).
 
     Null and empty texts equal each other; empty input gives empty output."""
     if similarity is not None:

@@ -82,3 +82,48 @@ def test_odd_tables(spark):
     kept = lambda d: simhash.kept_only(d, shingle=5, similarity=0.8)
     assert sorted(x.doc_id for x in kept(docs).collect()) == [2, 3]
     assert kept(docs.where("false")).count() == 0
+
+
+def differ(a, b):
+    return (simhash.fingerprint(a.encode(), 5) ^ simhash.fingerprint(b.encode(), 5)).bit_count()
+
+
+def test_stage_links_by_the_balls_and_checks_them(spark, monkeypatch):
+    """Within 3 bits and similar: linked by SimHash; within 3 bits and not
+    similar: apart; similar beyond 3 bits: linked by what follows."""
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(2000)]
+    close = next(t for t in (edited(r, words, 3) for _ in range(1000)) if 1 <= differ(" ".join(words), t) <= 3)
+    loop, tail = " ".join(["a b c d e"] * 400), lambda at: " ".join(f"t{at + k}" for k in range(12))
+    some = [f"v{k}" for k in range(150)]
+    texts = [" ".join(words), close, f"{loop} {tail(0)}", f"{loop} {tail(50)}", " ".join(some), edited(r, some, 2)]
+    assert alike(texts[0].encode(), texts[1].encode())
+    assert differ(*texts[2:4]) <= 3 and not alike(texts[2].encode(), texts[3].encode())
+    assert differ(*texts[4:]) > 3 and alike(texts[4].encode(), texts[5].encode())
+    docs = spark.createDataFrame([(k, t, "en", "web", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    near, rest = [], []
+    by_balls, others = simhash.links, jaccard.rest
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: near.append(by_balls(*a, **k)) or near[-1])
+    monkeypatch.setattr(jaccard, "rest", lambda *a: rest.append((a[1], others(*a))) or rest[-1][1])
+    assert sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 2, 3, 4]
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    assert frozenset(signed(simhash.fingerprint(t.encode(), 5)) for t in texts[:2]) in {frozenset((x.a, x.b)) for x in near[0].collect()}
+    sets = [signed(jaccard.signature(jaccard.shingles(t.encode()))) for t in texts]
+    ends = lambda links: {frozenset((x.a, x.b)) for x in links.collect()}
+    assert ends(rest[0][0]) == {frozenset(sets[:2])}
+    assert ends(rest[0][1]) == {frozenset(sets[4:])}
+
+
+def test_balls_connect_all_fingerprints_within_three_bits(spark):
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(800)]
+    texts = [edited(r, words, r.randint(0, 3)) for _ in range(40)] + ["one two", "One  two", "", "x y z"]
+    rows = spark.createDataFrame([(k, 0, bytearray(t.encode())) for k, t in enumerate(texts)], "_am_id long, _am_tie long, _am_text binary")
+    none = np.empty(0, np.uint64)
+    sets = jaccard._sets(rows, 5, Fraction(4, 5), none, none).cache()
+    of = {x._am_id: x._am_fp for x in sets.collect()}
+    names = sorted(set(of.values()))
+    at = {n: k for k, n in enumerate(names)}
+    want = union_find(len(names), [(at[of[a]], at[of[b]]) for a in of for b in range(a) if differ(texts[a], texts[b]) <= 3 and texts[a].split() and texts[b].split()])
+    got = union_find(len(names), [(at[x.a], at[x.b]) for x in jaccard.near(sets).collect()])
+    assert got == want and len(set(want)) < len(names)
