@@ -41,7 +41,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage with a checkpoint in the shared folder.
     For narrow results; the files go when Spark's cleaner drops the frame."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    sweep(df.sparkSession)
+    return out
+
+
+def sweep(spark: SparkSession) -> None:
+    """Has the driver collect its garbage once its heap takes more than half of
+    its limit: operators of many jobs leave plans and broadcasts behind, for
+    which the heap would grow to that limit and stay there."""
+    runtime = spark._jvm.Runtime.getRuntime()
+    if 2 * runtime.totalMemory() > runtime.maxMemory():
+        spark._jvm.System.gc()
 
 
 #: Tables stored by this process, for :func:`release`.
@@ -66,6 +77,7 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/assaymill/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _STORED.append(path)
+    sweep(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

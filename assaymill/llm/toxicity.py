@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, q, text_of, tidy
+from .common import carried, give_back, q, text_of, tidy
 
 #: Bounds of the labelled sample.
 MAX_TOXIC, MAX_CLEAN = 1_500, 4_000
@@ -377,7 +377,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # one object for each distinct word, and tuples, which take a tenth of the room of sets
     one: dict[bytes, bytes] = {}
     words = [tuple(one.setdefault(w, w) for w in bytes(r.words).split(b" ") if w) for r in found]
-    return fit_words(words, [r.y == 1 for r in found])
+    model = fit_words(words, [r.y == 1 for r in found])
+    del found, words, one
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -231,6 +231,16 @@ def test_tasks_give_freed_memory_back(monkeypatch):
     assert len(calls) == 2
 
 
+def test_the_driver_sweeps_a_heap_past_half_its_limit():
+    from types import SimpleNamespace as Some
+
+    calls = []
+    jvm = lambda taken: Some(Runtime=Some(getRuntime=lambda: Some(totalMemory=lambda: taken, maxMemory=lambda: 100)), System=Some(gc=lambda: calls.append(taken)))
+    for taken in (40, 60):
+        common.sweep(Some(_jvm=jvm(taken)))
+    assert calls == [60]
+
+
 def test_forgotten_pieces_are_learnt_again(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_BYTES", 1000)
     known = packing.PieceTokens(packing.default_tokenizer())
