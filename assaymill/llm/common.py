@@ -5,10 +5,14 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: however many keys it holds.
 SIEVE_BITS = 26
 
+#: Seconds between looks at the driver's heap while a result is computed.
+WATCH_S = 2.0
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
@@ -41,9 +48,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage with a checkpoint in the shared folder.
     For narrow results; the files go when Spark's cleaner drops the frame."""
     shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    sweep(df.sparkSession)
-    return out
+    with watched(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def sweep(spark: SparkSession) -> None:
@@ -55,6 +61,53 @@ def sweep(spark: SparkSession) -> None:
         spark._jvm.System.gc()
 
 
+def trim(spark: SparkSession) -> bool:
+    """Has the driver's JVM return native memory that it has freed (compilers and
+    plans leave much of it in malloc's arenas) to the system; false where the
+    JVM has no such command."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    named = jvm.java.lang.Class.forName
+    try:
+        # the server's own class isn't open to calls, its interface is
+        kinds, given = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+        for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = named(kind)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        return False
+    return True
+
+
+@contextmanager
+def watched(spark: SparkSession) -> Iterator[None]:
+    """Sweeps and trims the driver while the block computes and after it: one
+    job of many stages and tasks leaves enough behind to fill the heap."""
+    done, heap = threading.Event(), spark._jvm.Runtime.getRuntime()
+
+    def watch() -> None:
+        swept = 0
+        try:
+            while not done.wait(WATCH_S):
+                # a heap that is full of what is needed isn't swept again and again
+                if 10 * heap.totalMemory() > 11 * swept:
+                    sweep(spark)
+                    swept = heap.totalMemory()
+                trim(spark)
+        except Exception:  # the session may go meanwhile; its job tells
+            return
+
+    watcher = InheritableThread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        yield
+    finally:
+        done.set()
+        watcher.join()
+    sweep(spark)
+    trim(spark)
+
+
 #: Tables stored by this process, for :func:`release`.
 _STORED: list[str] = []
 
@@ -75,9 +128,9 @@ def stored(df: DataFrame) -> DataFrame:
     compressed, for results too wide or too long for :func:`cut`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/assaymill/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with watched(spark):
+        df.write.parquet(path)
     _STORED.append(path)
-    sweep(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -241,6 +241,33 @@ def test_the_driver_sweeps_a_heap_past_half_its_limit():
     assert calls == [60]
 
 
+def test_the_driver_is_swept_while_a_table_is_computed(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "WATCH_S", 0.05)
+    monkeypatch.setattr(common, "sweep", lambda s: calls.append("sweep"))
+    monkeypatch.setattr(common, "trim", lambda s: calls.append("trim") or True)
+    slow = spark.range(2, numPartitions=1).selectExpr("id", "reflect('java.util.concurrent.locks.LockSupport', 'parkNanos', 700000000L) as n")
+    for compute in (common.stored, common.cut):
+        calls.clear()
+        assert compute(slow).count() == 2
+        assert calls.count("trim") > 2 and calls.count("sweep") > 1 and calls[-2:] == ["sweep", "trim"]
+
+
+def test_the_drivers_jvm_gives_native_memory_back(spark, monkeypatch):
+    from types import SimpleNamespace as Some
+
+    from py4j.protocol import Py4JError
+
+    def unknown(name):
+        raise Py4JError(name)
+
+    asked = Some(_jvm=Some(java=Some(lang=Some(Class=Some(forName=unknown)))), sparkContext=Some(_gateway=Some(new_array=lambda kind, n: [None] * n)))
+    asked._jvm.java.lang.Object = None
+    assert common.trim(asked) is False
+    since = spark._jvm.java.lang.Runtime.version().feature()
+    assert common.trim(spark) is True or since < 17 or not spark._jvm.System.getProperty("os.name").startswith("Linux")
+
+
 def test_forgotten_pieces_are_learnt_again(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_BYTES", 1000)
     known = packing.PieceTokens(packing.default_tokenizer())
