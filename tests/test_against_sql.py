@@ -28,3 +28,18 @@ def test_text_predicates(spark, tmp_path):
     ]
     got, expected = both(spark, tmp_path, "q_text_predicates", documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert got == expected
+
+
+def test_row_gaps_ties(spark):
+    """Boxes equal in top and number: the order of the rows decides nothing."""
+    from assaymill.operators import layout
+
+    boxes = [(1, 0, 20, 10, 40), (2, 5, 60, 25, 90), (2, 9, 60, 12, 90), (2, 9, 60, 30, 90), (3, 0, 120, 20, 150)]
+    page = spark.createDataFrame([(1, 1, 0, 0, 500, 500)], "page int, table_no int, tx1 int, ty1 int, tx2 int, ty2 int")
+    closed = [
+        rows(layout.close_row_gaps(spark.createDataFrame([(1, *b) for b in x], "page int, box_no int, x1 int, y1 int, x2 int, y2 int").coalesce(1), page, ["page"]).collect())
+        for x in (boxes, boxes[::-1], boxes[2:] + boxes[:2])
+    ]
+    assert closed[0] == closed[1] == closed[2]
+    # y2 of the box above and y1 of the box below
+    assert closed[0][1] == repr((1.0, 1.0, 2.0, 5.0, 40.0, 25.0, 90.0))
