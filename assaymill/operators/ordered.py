@@ -27,6 +27,13 @@ def chained(df: DataFrame, by: list[str], value: str, tolerance: float, ties: li
     return df.withColumn("_new", F.when(step > tolerance, 1).otherwise(0)).withColumn(name, F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("_new")
 
 
+def parts(df: DataFrame, rows: int = 250_000) -> int:
+    """Partitions for a shuffle of ``df`` by key: one per 250,000 rows, and as
+    many as the session runs at once.  A task's sorts then hold as much on a
+    large input as on a small one.  The rows are counted."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def _partitioned(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return df.repartition(*map(F.col, by)).sortWithinPartitions(*by, *order)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .ordered import parts as parts_of
 
 TABLE = ["file", "page", "table_no"]
 # Words that make a table biological.
@@ -30,24 +31,29 @@ def with_header(rows: DataFrame, cells: str = "cells") -> DataFrame:
     return made.withColumn("columns", last).drop("_names")
 
 
-def is_biological(rows: DataFrame) -> DataFrame:
+def is_biological(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """The tables (``file, page, table_no``) with two rows or more whose first
-    three hold an assay word, a value with a unit or an activity symbol."""
+    three hold an assay word, a value with a unit or an activity symbol.
+    Dealt over ``parts`` partitions by table, as in :func:`long_assays`."""
     words = F.lower(F.array_join(F.filter("cells", lambda c: c.isNotNull()), " "))
     symbol = F.exists("cells", lambda c: F.coalesce(T.stripped(c).rlike(r"^[+＋]{1,5}$|^[-−–—]{1,5}$"), F.lit(False)))
     unit = words.rlike(r"(?iu)[<>≤≥]?\s*\d+\.?\d*\s*[nμump]?M")
     hit = ((F.col("row_no") < 3) & words.rlike(TABLE_WORDS)) | (F.col("row_no").isin(1, 2) & (unit | symbol))
-    return rows.groupBy(*TABLE).agg(F.count(F.lit(1)).alias("n"), F.bool_or(hit).alias("hit")).where("n >= 2 and hit").select(*TABLE)
+    marked = rows.select(*TABLE, hit.alias("hit")).repartition(parts or parts_of(rows), *TABLE)
+    return marked.groupBy(*TABLE).agg(F.count(F.lit(1)).alias("n"), F.bool_or("hit").alias("hit")).where("n >= 2 and hit").select(*TABLE)
 
 
-def long_assays(rows: DataFrame, only: DataFrame | None = None) -> DataFrame:
+def long_assays(rows: DataFrame, only: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """``file, page, table_no, row_no, compound_id, assay, value``: one record
     per id, column and value.  Of rows with one id in a table the last wins.
     ``only`` restricts the tables: it meets the headers, and rows follow them.
 
     One shuffle by table serves the join with the header and the window over
-    the ids; cells are parsed after they have become rows, where a subexpression
+    the ids; it deals the rows over ``parts`` partitions (by default one per
+    250,000 rows, which are counted), so that a task's sorts don't grow with the
+    input.  Cells are parsed after they have become rows, where a subexpression
     is evaluated once."""
+    rows = rows.repartition(parts or parts_of(rows), *TABLE)
     heads = with_header(rows.where("row_no = 0")).select(*TABLE, "id_at", "columns")
     heads = heads if only is None else heads.join(only, TABLE, "left_semi")
     body = rows.where("row_no > 0").join(heads, TABLE)

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import merge, metrics, pages, tables
+from ..operators import merge, metrics, ordered, pages, tables
 
 
-def assay_records(cells: DataFrame, text_pages: DataFrame | None = None, ocr: DataFrame | None = None) -> DataFrame:
+def assay_records(cells: DataFrame, text_pages: DataFrame | None = None, ocr: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """``file, compound_id, assay, value``: native tables first; pages whose
     native result is poor are filled from recognised records, pages without any
     from their text, then from recognised records; first filled value by page
-    and source."""
-    good = tables.is_biological(cells)
-    native = tables.long_assays(cells, good).select("file", "page", F.col("table_no").alias("part"), "compound_id", "assay", "value", F.lit(0).alias("rank"))
+    and source.  ``parts`` are the partitions of the tables' shuffles, by default
+    one per 250,000 rows of cells."""
+    parts = parts or ordered.parts(cells)
+    good = tables.is_biological(cells, parts)
+    native = tables.long_assays(cells, good, parts).select("file", "page", F.col("table_no").alias("part"), "compound_id", "assay", "value", F.lit(0).alias("rank"))
     out = native
     if text_pages is not None:
         rest = text_pages.join(native.select("file", "page").distinct(), ["file", "page"], "left_anti")
