@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,13 @@ CONFIDENCE = {"hrms": 0.95, "lcms": 0.9, "ms": 0.85, "formula_only": 0.7}
 ENTRY_TYPES = ("example_compound", "other")
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value evaluated once per row, however often
+    ``then`` names it: as a lambda's variable.  Higher-order functions share no
+    subexpressions."""
+    return F.transform(F.array(value), then)[0]
+
+
 def json_block(text: Column) -> Column:
     """The fenced block, else from the first to the last brace, else all."""
     fenced = found(text, r"(?s)```(?:json)?\s*\n?(.*?)```")
@@ -26,9 +35,8 @@ def repaired(text: Column) -> Column:
 def json_map(text: Column) -> Column:
     """``map<string,string>`` of an answer's object, as written or repaired;
     null when neither parses."""
-    block = json_block(text)
     ok = lambda t: F.when(F.get_json_object(t, "$").isNotNull(), F.from_json(t, "map<string,string>"))
-    return F.coalesce(ok(block), ok(repaired(block)))
+    return once(json_block(text), lambda block: F.coalesce(ok(block), once(repaired(block), ok)))
 
 
 def entry(value: Column) -> Column:
@@ -46,15 +54,15 @@ def entry(value: Column) -> Column:
 def entries(answer: Column, n: Column) -> Column:
     """One entry per box 1 .. n: by box number; if some are missing and there
     are n entries, in the order of their keys' digits; else type other."""
-    m = json_map(answer)
-    direct = F.transform(F.sequence(F.lit(1), n), lambda k: entry(F.try_element_at(m, k.cast("string"))))
     digits = lambda k: F.coalesce(F.try_to_number(blank_null(F.regexp_replace(k, "[^0-9]", "")), F.lit("999999999999999")), F.lit(10**15))
-    in_order = F.transform(
-        F.array_sort(F.transform(F.map_entries(m), lambda e, k: F.struct(digits(e["key"]).alias("d"), k.alias("k"), e["value"].alias("v")))), lambda e: entry(e["v"])
+    in_order = lambda m: F.transform(
+        F.array_sort(F.transform(F.map_entries(m), lambda e, k: F.struct(digits(e["key"]).alias("d"), k.alias("k"), e["value"].alias("v")))), lambda e: once(e["v"], entry)
     )
-    chosen = F.when(F.exists(direct, lambda e: e.isNull()) & (F.size(m) == n), in_order).otherwise(direct)
+    direct = lambda m: F.transform(F.sequence(F.lit(1), n), lambda k: once(F.try_element_at(m, k.cast("string")), entry))
+    chosen = lambda m: once(direct(m), lambda d: F.when(F.exists(d, lambda e: e.isNull()) & (F.size(m) == n), in_order(m)).otherwise(d))
     other = F.struct(F.lit("other").alias("type"), F.lit(None).cast("string").alias("id"))
-    return F.when(n <= 0, F.array().cast("array<struct<type:string,id:string>>")).otherwise(F.transform(F.coalesce(chosen, F.array_repeat(other, n)), lambda e: F.coalesce(e, other)))
+    picked = F.coalesce(once(json_map(answer), chosen), F.array_repeat(other, n))
+    return F.when(n <= 0, F.array().cast("array<struct<type:string,id:string>>")).otherwise(F.transform(picked, lambda e: F.coalesce(e, other)))
 
 
 def formula_refs(answer: Column) -> Column:
