@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ordered import parts
 
 
 def first_filled(value: Column, *order: Column) -> Column:
@@ -33,7 +34,11 @@ def id_ladder(structures: DataFrame, assays: DataFrame) -> DataFrame:
     normalised but for case, the id's core against ids, against normalised ids,
     against cores, and leading numbers without dashes.  Each rung is an
     equi-join on (file, key), so none becomes a nested loop; of several assay
-    rows on a rung the smallest id wins."""
+    rows on a rung the smallest id wins.
+
+    The structures' keys are eight times their rows, which a planner doesn't
+    see: they are dealt by their number and merged, never broadcast."""
+    n = parts(structures, rows=31_250)
     s = structures.where("compound_id is not null and compound_id <> ''")
     raw, norm = T.stripped(F.col("compound_id")), T.merge_id(F.col("compound_id"))
     a_raw, a_norm = F.col("assay_id"), T.merge_id(F.col("assay_id"))
@@ -48,9 +53,11 @@ def id_ladder(structures: DataFrame, assays: DataFrame) -> DataFrame:
         (T.number_base(norm), T.number_base(a_norm)),
     ]
     keys = lambda column: F.inline(F.array(*[F.struct(F.lit(k + 1).alias("rung"), F.concat(F.lit(f"{k + 1} "), r[column]).alias("key")) for k, r in enumerate(rungs)]))
-    left = s.select("structure_id", "file", "compound_id", keys(0)).where("key is not null")
-    right = assays.select("file", "assay_id", keys(1)).where("key is not null").groupBy("file", "key").agg(F.min("assay_id").alias("assay_id"))
-    hits = left.join(right, ["file", "key"])
+    # one column, so that a file that is a constant can't drop out of the join's keys and have the rows dealt again
+    at = F.concat("key", F.col("file").cast("string"), F.lit(":"), F.length(F.col("file").cast("string")).cast("string")).alias("at")
+    left = s.select("structure_id", "file", "compound_id", keys(0)).select("structure_id", "file", "compound_id", "rung", at).where("at is not null")
+    right = assays.select("file", "assay_id", keys(1)).select("assay_id", at).where("at is not null").repartition(n, "at").groupBy("at").agg(F.min("assay_id").alias("assay_id"))
+    hits = left.repartition(n, "at").hint("merge").join(right, "at")
     return hits.groupBy("structure_id", "file", "compound_id").agg(F.min_by(F.struct("assay_id", "rung"), F.struct("rung", "assay_id")).alias("m")).select("structure_id", "file", "compound_id", "m.assay_id", "m.rung")
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from assaymill.operators import ordered, tables
+from assaymill.operators import merge, ordered, tables
 from assaymill.plans import catalogue, extraction
 
 from .test_operators import cells, got
@@ -38,3 +38,14 @@ def test_default_is_by_rows(spark, monkeypatch):
     df = tables.long_assays(c, tables.is_biological(c))
     assert df.rdd.getNumPartitions() == 10 and got(df, "compound_id", "assay", "value") == plain
     assert got(extraction.assay_records(c), "compound_id", "assay", "value") == plain
+
+
+def test_ladder_isnt_broadcast(spark):
+    """Keys of many structures are dealt by their number and merged."""
+    s = spark.range(300_000).selectExpr("id AS structure_id", "'f' AS file", "concat('Cpd. ', id % 500, 'a') AS compound_id")
+    a = spark.createDataFrame([("f", str(k)) for k in range(1, 4)] + [(None, "5")], "file string, assay_id string")
+    df = merge.id_ladder(s, a)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("hashpartitioning(at") == 2
+    assert len([x for x in plan.split("\n") if "hashpartitioning(at" in x and ", 10)" in x]) == 2
+    assert {tuple(r) for r in df.groupBy("assay_id", "rung").count().collect()} == {(str(k), 8, 600) for k in range(1, 4)}
